@@ -356,6 +356,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, lows = [], []
         for d, hit in equal_windows(lcp, left, new_group, back, reach, many):
             hit = hit[many[hit] == 0]  # what repeats whole is covered already
+            if not len(hit):
+                continue
             docs.append(doc[hit])
             lows.append(first[hit] + back[hit] - d)
         if docs:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 
@@ -327,7 +328,7 @@ def test_language_id(spark, empty, tmp_path):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
     model = fit(source)
     odd = spark.createDataFrame([(1, None), (2, "12 !?"), (3, ""), (4, "the of and thing"), (None, "der die und schheit")], "doc_id long, text string")
-    assert [r.lang_pred for r in predict(odd, model, spark).orderBy(odd.doc_id.asc_nulls_last()).collect()] == ["und", "und", "und", "en", "de"]
+    assert [r.lang_pred for r in predict(odd, model, spark).orderBy(F.col("doc_id").asc_nulls_last()).collect()] == ["und", "und", "und", "en", "de"]
     assert predict(empty, model, spark).count() == 0
     assert {r.lang_pred for r in predict(odd, None, spark).collect()} == {"und"}
 
