@@ -4,9 +4,11 @@ The shingles of a document are put in one global order, rarest first: by the
 magnitude of a count sketch over all documents, then by hash. Documents with
 equal sets are one class. Two classes that reach the threshold share a shingle
 among the first (1 - t) |set| + 1 of each, so only these prefixes are dealt by
-shingle. A class of a shingle's group is compared with the group's pivot first;
-then, with the components that this gives, whatever two classes of a group are
-still apart. A comparison cuts the global order into fragments: partial
+shingle; knowing both sizes, the shared one even stands among the first
+|set| - overlap + 1 of each. A class of a shingle's group is compared first with
+the group's pivot, the class that has the shingle earliest (a text of which the
+others are edits has no rarer shingles than those they share); then, with the
+components that this gives, whatever two classes of a group are still apart. A comparison cuts the global order into fragments: partial
 overlaps are counted fragment by fragment in tasks of their own and summed per
 pair.
 """
@@ -14,6 +16,7 @@ pair.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, POWERS, U64, bounded, doc_key, flat, mix, shuffle_partitions, stored, table, words
+from .common import LOWER, POWERS, U64, bounded, doc_key, flat, mix, ranges, shuffle_partitions, stored, table, words
 from .graph import components
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100
-SKETCH_BITS = 20
-BLOCK_BITS = 14
+SKETCH_BITS = 22
+BLOCK_BITS = 16
 FRAGMENT = 512  # shingles of a pivot in a fragment, about
 FLUSH = 2_000_000  # postings that a map task holds
 SPACE = np.zeros(256, bool)
@@ -94,7 +97,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if sketch.any():
         blocks = sketch.astype("<u4").reshape(-1, 1 << BLOCK_BITS)
         m = len(blocks)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), *[pa.nulls(m, pa.int64())] * 3, pa.array(np.arange(m, dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), *[pa.nulls(m, pa.int64())] * 3, pa.array(np.arange(m, dtype=np.int32)), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], schema=schema)
 
 
 def _sum_blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +105,7 @@ def _sum_blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in frames:
         for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = np.frombuffer(cells, "<u4").astype(np.int64)
+            own = np.frombuffer(zlib.decompress(cells), "<u4").astype(np.int64)
             held[block] = held[block] + own if block in held else own
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in held.values()], pa.binary())], names=["block", "cells"])
@@ -125,10 +128,10 @@ def _prefixes(shared, parts: int):
     """Postings of the prefixes, packed into one blob per flush and part."""
 
     def pack(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        token, cls, n = (np.concatenate(x) for x in zip(*held))
+        token, cls, n, place = (np.concatenate(x) for x in zip(*held))
         part = (mix(token) % U64(parts)).astype(np.int64)
         order = np.lexsort((cls, part))
-        token, cls, n, part = token[order], cls[order], n[order], part[order]
+        token, cls, n, place, part = (x[order] for x in (token, cls, n, place, part))
         cut = np.searchsorted(part, np.arange(parts + 1))
         ids, blobs = [], []
         for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
@@ -136,7 +139,7 @@ def _prefixes(shared, parts: int):
                 head = np.flatnonzero(np.concatenate(([True], cls[a + 1 : b] != cls[a : b - 1])))
                 count = np.diff(np.append(head, b - a)).astype("<u4")
                 ids.append(p)
-                blobs.append(np.array([len(head)], "<u4").tobytes() + cls[a:b][head].tobytes() + n[a:b][head].astype("<u4").tobytes() + count.tobytes() + token[a:b].tobytes())
+                blobs.append(np.array([len(head)], "<u4").tobytes() + cls[a:b][head].tobytes() + n[a:b][head].astype("<u4").tobytes() + count.tobytes() + place[a:b].tobytes() + token[a:b].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +166,9 @@ def _prefixes(shared, parts: int):
                 # Rows are in order of hash, so a stable sort by rarity gives the global order.
                 keep.append(a + np.argsort(rarity[a:b], kind="stable")[:p])
             length = np.array([len(x) for x in keep])
-            held.append((h[np.concatenate(keep)], np.repeat(cls[fresh], length), np.repeat(n, length)))
+            # A place over 65535 counts as that: the filter by place then lets more pairs through, never fewer.
+            place = np.minimum(ranges(np.zeros(len(length), np.int64), length), 65535).astype("<u2")
+            held.append((h[np.concatenate(keep)], np.repeat(cls[fresh], length), np.repeat(n, length), place))
             count += int(length.sum())
             if count >= FLUSH:
                 yield from pack(held)
@@ -174,8 +179,15 @@ def _prefixes(shared, parts: int):
     return run
 
 
-FOUND = "kind int, a long, b long, na long, nb long, members array<long>, sizes array<long>"
-FOUND_SCHEMA = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("members", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
+FOUND = "kind int, a long, b long, na long, nb long, members array<long>, sizes array<long>, places array<long>"
+FOUND_SCHEMA = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("members", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
+
+
+def possible(n: np.ndarray, place: np.ndarray, other_n: int, other_place: int) -> np.ndarray:
+    """Whether classes with a shingle at these places of the global order can reach the threshold, if it is the first they share."""
+    both = n + other_n
+    least = (both * NUMERATOR + NUMERATOR + DENOMINATOR - 1) // (NUMERATOR + DENOMINATOR)
+    return (place <= n - least) & (other_place <= other_n - least)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,67 +197,71 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             blobs.setdefault(part, []).append(blob)
     for part in sorted(blobs):
-        token, cls, n = [], [], []
+        token, cls, n, place = [], [], [], []
         for blob in blobs.pop(part):
             m = int(np.frombuffer(blob, "<u4", 1)[0])
             count = np.frombuffer(blob, "<u4", m, 4 + 12 * m)
+            total = int(count.sum())
             cls.append(np.repeat(np.frombuffer(blob, "<i8", m, 4), count))
             n.append(np.repeat(np.frombuffer(blob, "<u4", m, 4 + 8 * m).astype(np.int64), count))
-            token.append(np.frombuffer(blob, "<u8", -1, 4 + 16 * m))
-        token, cls, n = np.concatenate(token), np.concatenate(cls), np.concatenate(n)
+            place.append(np.frombuffer(blob, "<u2", total, 4 + 16 * m).astype(np.int64))
+            token.append(np.frombuffer(blob, "<u8", total, 4 + 16 * m + 2 * total))
+        token, cls, n, place = (np.concatenate(x) for x in (token, cls, n, place))
         # Only tokens of several postings go on to the full sort.
         order = np.argsort(token, kind="stable")
         t = token[order]
         same = t[1:] == t[:-1]
-        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        order = order[shared]
-        token, cls, n = token[order], cls[order], n[order]
-        order = np.lexsort((cls, n, token))
-        token, cls, n = token[order], cls[order], n[order]
+        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        order = order[np.lexsort((cls[order], token[order]))]
+        token, cls, n, place = (x[order] for x in (token, cls, n, place))
         if len(token):
             keep = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
-            token, cls, n = token[keep], cls[keep], n[keep]
+            token, cls, n, place = (x[keep] for x in (token, cls, n, place))
         head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
         stop = np.append(head[1:], len(token))
         many = stop - head > 1
-        pairs, groups, seen = [], [], set()
+        # Of shingles with the same classes the one that comes first in the global order lets every pair through that another does.
+        first: dict[bytes, tuple[int, int]] = {}
         for a, b in zip(head[many].tolist(), stop[many].tolist()):
             key = hashlib.blake2b(cls[a:b].tobytes(), digest_size=16).digest()
-            if key in seen:
-                continue
-            seen.add(key)
-            # By size: a run of classes whose sizes may reach the threshold with its smallest, the pivot.
-            at = a
-            while at < b:
-                to = at + int(np.searchsorted(n[at:b], n[at] * DENOMINATOR // NUMERATOR, side="right"))
-                if to - at > 1:
-                    pairs.append(np.stack((cls[at + 1 : to], np.full(to - at - 1, cls[at]), n[at + 1 : to], np.full(to - at - 1, n[at]))))
-                at = to
+            if key not in first or place[a] < place[first[key][0]]:
+                first[key] = a, b
+        pairs, groups = [], []
+        for a, b in first.values():
+            left = np.arange(a, b)
+            while len(left) > 1:
+                pivot = left[np.lexsort((n[left], place[left]))[0]]
+                near = (n[left] * DENOMINATOR >= n[pivot] * NUMERATOR) & (n[pivot] * DENOMINATOR >= n[left] * NUMERATOR)
+                other = left[near & (left != pivot)]
+                other = other[possible(n[other], place[other], n[pivot], place[pivot])]
+                if len(other):
+                    pairs.append(np.stack((cls[other], np.full(len(other), cls[pivot]), n[other], np.full(len(other), n[pivot]))))
+                left = left[~near]
             if b - a > 2:
-                groups.append((cls[a:b], n[a:b]))
+                groups.append((cls[a:b], n[a:b], place[a:b]))
         if pairs:
             p = np.unique(np.concatenate(pairs, axis=1), axis=1)
             for at in range(0, p.shape[1], 100_000):
                 q = p[:, at : at + 100_000]
                 m = q.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), *(pa.array(x) for x in q), *[pa.nulls(m, pa.list_(pa.int64()))] * 2], schema=FOUND_SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), *(pa.array(x) for x in q), *[pa.nulls(m, pa.list_(pa.int64()))] * 3], schema=FOUND_SCHEMA)
         for at in range(0, len(groups), 1000):
             some = groups[at : at + 1000]
             m = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), *[pa.nulls(m, pa.int64())] * 4, *(pa.array([x[k] for x in some], pa.list_(pa.int64())) for k in (0, 1))], schema=FOUND_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), *[pa.nulls(m, pa.int64())] * 4, *(pa.array([x[k] for x in some], pa.list_(pa.int64())) for k in (0, 1, 2))], schema=FOUND_SCHEMA)
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of a group whose classes are in different components and whose sizes may reach the threshold."""
+    """The pairs of a group whose classes are in different components and may reach the threshold by size and place."""
     for batch in batches:
         out, held = [], 0
         for rows in batch.column(0).to_pylist():
-            n, cls, comp = (np.array([r[k] for r in rows], np.int64) for k in ("n", "cls", "comp"))
+            n, cls, comp, place = (np.array([r[k] for r in rows], np.int64) for k in ("n", "cls", "comp", "place"))
             order = np.lexsort((cls, n))
-            n, cls, comp = n[order], cls[order], comp[order]
+            n, cls, comp, place = (x[order] for x in (n, cls, comp, place))
             for i in range(len(n) - 1):
                 to = int(np.searchsorted(n, n[i] * DENOMINATOR // NUMERATOR, side="right"))
-                other = i + 1 + np.flatnonzero(comp[i + 1 : to] != comp[i])
+                other = i + 1 + np.flatnonzero((comp[i + 1 : to] != comp[i]) & possible(n[i + 1 : to], place[i + 1 : to], n[i], place[i]))
                 if len(other):
                     out.append(np.stack((cls[other], np.full(len(other), cls[i]), n[other], np.full(len(other), n[i]))))
                     held += len(other)
@@ -331,11 +347,12 @@ def jaccard_join(docs: DataFrame, spark: SparkSession) -> DataFrame:
     first = found.where("kind = 0").select("a", "b", "na", "nb")
     edges = stored(spark, verify(first, rows, reps, spark), "links")
     labels = components(edges, spark)
-    groups = found.where("kind = 1").select(F.concat_ws(":", F.xxhash64("members"), F.xxhash64(F.lit(1), "members"), F.size("members")).alias("gid"), "members", "sizes").dropDuplicates(["gid"])
-    listed = groups.select("gid", F.explode(F.arrays_zip("members", "sizes")).alias("m")).select("gid", F.col("m.members").alias("cls"), F.col("m.sizes").alias("n"))
-    placed = listed.join(labels, F.col("cls") == F.col("node"), "left").select("gid", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
+    groups = found.where("kind = 1").select(F.concat_ws(":", F.xxhash64("members"), F.xxhash64(F.lit(1), "members"), F.size("members")).alias("gid"), F.struct("members", "sizes", "places").alias("g"))
+    groups = groups.groupBy("gid").agg(F.min_by("g", F.col("g.places")[0]).alias("g"))
+    listed = groups.select("gid", F.explode(F.arrays_zip("g.members", "g.sizes", "g.places")).alias("m")).select("gid", F.col("m.members").alias("cls"), F.col("m.sizes").alias("n"), F.col("m.places").alias("place"))
+    placed = listed.join(labels, F.col("cls") == F.col("node"), "left").select("gid", "cls", "n", "place", F.coalesce("comp", "cls").alias("comp"))
     mixed = placed.groupBy("gid").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("gid")
-    apart = placed.join(mixed, "gid").groupBy("gid").agg(F.collect_list(F.struct("n", "cls", "comp")).alias("rows")).select("rows").mapInArrow(_apart, "a long, b long, na long, nb long")
+    apart = placed.join(mixed, "gid").groupBy("gid").agg(F.collect_list(F.struct("n", "cls", "comp", "place")).alias("rows")).select("rows").mapInArrow(_apart, "a long, b long, na long, nb long")
     second = stored(spark, apart.distinct().join(first.select("a", "b").distinct(), ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
         edges = edges.unionByName(verify(second, rows, reps, spark))
