@@ -7,6 +7,9 @@ runs as a handful of NumPy passes and never as a Python loop over bytes.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -158,5 +161,28 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], end[np.concatenate((first[1:] - 1, [len(end) - 1]))]
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system: workers live on and serve other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidy(run):
+    """A function over batches that releases its memory at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array,)) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, POWERS, U64, bounded, flat, merged, mix, ranges, table, words
+from .common import LOWER, POWERS, U64, bounded, flat, merged, mix, table, tidy, words
 
 WINDOW = 10
 #: Bytes of benchmark text in a broadcast block. A larger benchmark takes more blocks, and a scan for each.
@@ -103,7 +103,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, spark: SparkSessio
     out = docs.drop("_words", "_hits", "_items").select("*", F.lit(None).cast("long").alias("_words"), F.lit(None).cast("array<long>").alias("_hits"), F.lit(None).cast("array<long>").alias("_items"))
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(Index(block, size))
-        out = out.mapInArrow(_scanner(shared), out.schema)
+        out = out.mapInArrow(tidy(_scanner(shared)), out.schema)
     return out
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, POWERS, U64, bounded, doc_key, flat, mix, ranges, shuffle_partitions, stored, table, words
+from .common import LOWER, POWERS, U64, bounded, doc_key, flat, mix, ranges, shuffle_partitions, stored, table, tidy, words
 from .graph import components
 
 SHINGLE = 5
@@ -32,7 +32,7 @@ NUMERATOR, DENOMINATOR = 80, 100
 SKETCH_BITS = 22
 BLOCK_BITS = 16
 FRAGMENT = 512  # shingles of a pivot in a fragment, about
-FLUSH = 2_000_000  # postings that a map task holds
+FLUSH = 500_000  # postings that a map task holds
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 STEP = U64(0x9E3779B97F4A7C15)
@@ -87,15 +87,21 @@ MEMBERS = "kind int, doc_id long, n long, cls long, block int, cells binary"
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of kind 0: doc_id, n, cls. Rows of kind 1: a block of this task's sketch."""
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("block", pa.int32()), ("cells", pa.binary())])
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+    sketch, held, count = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
     for batch in bounded(batches, "text"):
         h, offsets = shingle_sets(*flat(batch.column(1)))
-        sketch += np.bincount((h >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+        held.append((h >> U64(64 - SKETCH_BITS)).astype(np.int32))
+        count += len(h)
+        if count > 2_000_000:
+            sketch += np.bincount(np.concatenate(held), minlength=len(sketch)).astype(np.uint32)
+            held, count = [], 0
         m = batch.num_rows
         none = pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array(np.diff(offsets)), pa.array(class_ids(h, offsets)), *none], schema=schema)
+    if count:
+        sketch += np.bincount(np.concatenate(held), minlength=len(sketch)).astype(np.uint32)
     if sketch.any():
-        blocks = sketch.astype("<u4").reshape(-1, 1 << BLOCK_BITS)
+        blocks = sketch.reshape(-1, 1 << BLOCK_BITS)
         m = len(blocks)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), *[pa.nulls(m, pa.int64())] * 3, pa.array(np.arange(m, dtype=np.int32)), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], schema=schema)
 
@@ -316,9 +322,9 @@ def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, spark: SparkSessi
     sent = pairs.select(F.col("a").alias("cls"), F.struct(F.col("b").alias("pivot"), F.col("nb").alias("n")).alias("to"))
     home = pairs.select(F.col("b").alias("cls"), F.struct(F.col("b").alias("pivot"), F.col("nb").alias("n")).alias("to")).distinct()
     targets = sent.unionByName(home).groupBy("cls").agg(F.collect_set("to").alias("targets")).join(reps, "cls").select("rep", "cls", "targets")
-    fragments = rows.join(targets, F.col("doc_id") == F.col("rep")).select("text", "cls", "targets").mapInArrow(_fragments, "pivot long, frag int, role int, cls long, shingles binary")
+    fragments = rows.join(targets, F.col("doc_id") == F.col("rep")).select("text", "cls", "targets").mapInArrow(tidy(_fragments), "pivot long, frag int, role int, cls long, shingles binary")
     dealt = fragments.repartition(shuffle_partitions(spark), "pivot", "frag").sortWithinPartitions("pivot", "frag", "role")
-    counts = dealt.mapInArrow(_overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
+    counts = dealt.mapInArrow(tidy(_overlaps), "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
     return pairs.join(counts, ["a", "b"]).where(F.col("common") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("common")) * NUMERATOR).select("a", "b")
 
 
@@ -336,13 +342,13 @@ def jaccard_join(docs: DataFrame, spark: SparkSession) -> DataFrame:
     classes are told apart by 64-bit hashes.
     """
     rows = docs.select(doc_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = stored(spark, rows.mapInArrow(_members, MEMBERS), "members")
+    members = stored(spark, rows.mapInArrow(tidy(_members), MEMBERS), "members")
     docs_of = members.where("kind = 0").select("doc_id", "n", "cls")
     shared = spark.sparkContext.broadcast(magnitudes(members, spark))
     total = docs_of.agg(F.sum("n")).first()[0] or 0
     parts = max(4 * shuffle_partitions(spark), int(total * 0.2 // 1_000_000))
-    postings = rows.mapInArrow(_prefixes(shared, parts), "part int, blob binary")
-    found = stored(spark, postings.repartition(shuffle_partitions(spark), "part").mapInArrow(_groups, FOUND), "found")
+    postings = rows.mapInArrow(tidy(_prefixes(shared, parts)), "part int, blob binary")
+    found = stored(spark, postings.repartition(shuffle_partitions(spark), "part").mapInArrow(tidy(_groups), FOUND), "found")
     reps = stored(spark, docs_of.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
     first = found.where("kind = 0").select("a", "b", "na", "nb")
     edges = stored(spark, verify(first, rows, reps, spark), "links")
@@ -352,7 +358,7 @@ def jaccard_join(docs: DataFrame, spark: SparkSession) -> DataFrame:
     listed = groups.select("gid", F.explode(F.arrays_zip("g.members", "g.sizes", "g.places")).alias("m")).select("gid", F.col("m.members").alias("cls"), F.col("m.sizes").alias("n"), F.col("m.places").alias("place"))
     placed = listed.join(labels, F.col("cls") == F.col("node"), "left").select("gid", "cls", "n", "place", F.coalesce("comp", "cls").alias("comp"))
     mixed = placed.groupBy("gid").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("gid")
-    apart = placed.join(mixed, "gid").groupBy("gid").agg(F.collect_list(F.struct("n", "cls", "comp", "place")).alias("rows")).select("rows").mapInArrow(_apart, "a long, b long, na long, nb long")
+    apart = placed.join(mixed, "gid").groupBy("gid").agg(F.collect_list(F.struct("n", "cls", "comp", "place")).alias("rows")).select("rows").mapInArrow(tidy(_apart), "a long, b long, na long, nb long")
     second = stored(spark, apart.distinct().join(first.select("a", "b").distinct(), ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
         edges = edges.unionByName(verify(second, rows, reps, spark))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, flat, table
+from .common import bounded, flat, table, tidy
 
 #: Bound of the labelled sample: about so many texts of each language. The vocabulary is what these texts share.
 PER_LANGUAGE = 300
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: Model | None, spark: SparkSession) -> DataFr
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()))
+    return docs.mapInArrow(tidy(run), StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

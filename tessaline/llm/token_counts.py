@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, record_batch, table
+from .common import bounded, record_batch, table, tidy
 
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Letters up to Latin Extended-B and general punctuation: every library agrees on their classes.
 RANGE = [*range(0x20, 0x7F), *range(0xA0, 0x250), *range(0x2010, 0x2028)]
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a0-\\u024f\\u2010-\\u2027]*")
@@ -122,7 +122,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
             yield record_batch(OUT, batch.column(0), size, n, [x > limit for x in n])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
