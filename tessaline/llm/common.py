@@ -184,5 +184,21 @@ def tidy(run):
     return wrapped
 
 
+#: Bytes of an Arrow batch on its way to a Python worker. Spark's default of 64 MB is several hundred MB of an executor beside its heap.
+ARROW_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(tidy(run), schema), with batches of at most about ARROW_BYTES.
+
+    The plan runs later, so the setting stays in the session; one that is lower already is left alone.
+    """
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    size = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key))
+    if size <= 0 or size > ARROW_BYTES:
+        conf.set(key, str(ARROW_BYTES))
+    return df.mapInArrow(tidy(run), schema)
+
+
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array,)) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)

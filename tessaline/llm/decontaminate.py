@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, POWERS, U64, bounded, flat, merged, mix, table, tidy, words
+from .common import LOWER, POWERS, U64, bounded, flat, in_arrow, merged, mix, table, words
 
 WINDOW = 10
 #: Bytes of benchmark text in a broadcast block. A larger benchmark takes more blocks, and a scan for each.
@@ -103,7 +103,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, spark: SparkSessio
     out = docs.drop("_words", "_hits", "_items").select("*", F.lit(None).cast("long").alias("_words"), F.lit(None).cast("array<long>").alias("_hits"), F.lit(None).cast("array<long>").alias("_items"))
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(Index(block, size))
-        out = out.mapInArrow(tidy(_scanner(shared)), out.schema)
+        out = out.transform(in_arrow, _scanner(shared), out.schema)
     return out
 
 
@@ -163,7 +163,7 @@ def contamination_report(found: DataFrame) -> DataFrame:
                 rows.append((n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(REPORT)[1:]))], schema=REPORT)
 
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_words", "_hits", "_items").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_words", "_hits", "_items").transform(in_arrow, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def remove_contamination(found: DataFrame, max_share: float = 0.5) -> DataFrame:
@@ -195,7 +195,7 @@ def remove_contamination(found: DataFrame, max_share: float = 0.5) -> DataFrame:
 
     from pyspark.sql.types import StructType
 
-    out = found.mapInArrow(run, StructType(kept))
+    out = found.transform(in_arrow, run, StructType(kept))
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 

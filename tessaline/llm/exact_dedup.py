@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, shuffle_partitions, table
+from .common import LOWER_BYTES, in_arrow, shuffle_partitions, table
 
 LOCAL_BYTES = 32 << 20
 BUCKET_BYTES = 48 << 20
@@ -167,8 +167,8 @@ def exact_dedup(docs: DataFrame, spark: SparkSession) -> DataFrame:
     Columns other than doc_id and text are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    partial = rows.mapInArrow(_local, "h long, content binary, top long, n long")
-    verdicts = partial.repartition(shuffle_partitions(spark), "h").mapInArrow(_buckets, "digest binary, keep_id long, group_size long")
+    partial = rows.transform(in_arrow, _local, "h long, content binary, top long, n long")
+    verdicts = partial.repartition(shuffle_partitions(spark), "h").transform(in_arrow, _buckets, "digest binary, keep_id long, group_size long")
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     keyed = rows.select("doc_id", F.unhex(F.sha2(F.encode(lower, "UTF-8"), 256)).alias("digest"))
     return keyed.join(verdicts, "digest", "left").select(

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, POWERS, U64, bounded, doc_key, flat, mix, ranges, shuffle_partitions, stored, table, tidy, words
+from .common import LOWER, POWERS, U64, bounded, doc_key, flat, in_arrow, mix, ranges, shuffle_partitions, stored, table, words
 from .graph import components
 
 SHINGLE = 5
@@ -119,7 +119,7 @@ def _sum_blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def magnitudes(members: DataFrame, spark: SparkSession) -> np.ndarray:
     """log2 of the sketch's cells as small integers: a table of fixed size, 2^SKETCH_BITS bytes."""
-    rows = members.where("kind = 1").select("block", "cells").repartition(min(shuffle_partitions(spark), 1 << (SKETCH_BITS - BLOCK_BITS)), "block").mapInArrow(_sum_blocks, "block int, cells binary").collect()
+    rows = members.where("kind = 1").select("block", "cells").repartition(min(shuffle_partitions(spark), 1 << (SKETCH_BITS - BLOCK_BITS)), "block").transform(in_arrow, _sum_blocks, "block int, cells binary").collect()
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     for block, cells in rows:
         out[block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = np.log2(1.0 + np.frombuffer(cells, "<i8")) * 2
@@ -322,9 +322,9 @@ def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, spark: SparkSessi
     sent = pairs.select(F.col("a").alias("cls"), F.struct(F.col("b").alias("pivot"), F.col("nb").alias("n")).alias("to"))
     home = pairs.select(F.col("b").alias("cls"), F.struct(F.col("b").alias("pivot"), F.col("nb").alias("n")).alias("to")).distinct()
     targets = sent.unionByName(home).groupBy("cls").agg(F.collect_set("to").alias("targets")).join(reps, "cls").select("rep", "cls", "targets")
-    fragments = rows.join(targets, F.col("doc_id") == F.col("rep")).select("text", "cls", "targets").mapInArrow(tidy(_fragments), "pivot long, frag int, role int, cls long, shingles binary")
+    fragments = rows.join(targets, F.col("doc_id") == F.col("rep")).select("text", "cls", "targets").transform(in_arrow, _fragments, "pivot long, frag int, role int, cls long, shingles binary")
     dealt = fragments.repartition(shuffle_partitions(spark), "pivot", "frag").sortWithinPartitions("pivot", "frag", "role")
-    counts = dealt.mapInArrow(tidy(_overlaps), "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
+    counts = dealt.transform(in_arrow, _overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
     return pairs.join(counts, ["a", "b"]).where(F.col("common") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("common")) * NUMERATOR).select("a", "b")
 
 
@@ -342,13 +342,13 @@ def jaccard_join(docs: DataFrame, spark: SparkSession) -> DataFrame:
     classes are told apart by 64-bit hashes.
     """
     rows = docs.select(doc_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = stored(spark, rows.mapInArrow(tidy(_members), MEMBERS), "members")
+    members = stored(spark, rows.transform(in_arrow, _members, MEMBERS), "members")
     docs_of = members.where("kind = 0").select("doc_id", "n", "cls")
     shared = spark.sparkContext.broadcast(magnitudes(members, spark))
     total = docs_of.agg(F.sum("n")).first()[0] or 0
     parts = max(4 * shuffle_partitions(spark), int(total * 0.2 // 1_000_000))
-    postings = rows.mapInArrow(tidy(_prefixes(shared, parts)), "part int, blob binary")
-    found = stored(spark, postings.repartition(shuffle_partitions(spark), "part").mapInArrow(tidy(_groups), FOUND), "found")
+    postings = rows.transform(in_arrow, _prefixes(shared, parts), "part int, blob binary")
+    found = stored(spark, postings.repartition(shuffle_partitions(spark), "part").transform(in_arrow, _groups, FOUND), "found")
     reps = stored(spark, docs_of.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
     first = found.where("kind = 0").select("a", "b", "na", "nb")
     edges = stored(spark, verify(first, rows, reps, spark), "links")
@@ -358,7 +358,7 @@ def jaccard_join(docs: DataFrame, spark: SparkSession) -> DataFrame:
     listed = groups.select("gid", F.explode(F.arrays_zip("g.members", "g.sizes", "g.places")).alias("m")).select("gid", F.col("m.members").alias("cls"), F.col("m.sizes").alias("n"), F.col("m.places").alias("place"))
     placed = listed.join(labels, F.col("cls") == F.col("node"), "left").select("gid", "cls", "n", "place", F.coalesce("comp", "cls").alias("comp"))
     mixed = placed.groupBy("gid").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("gid")
-    apart = placed.join(mixed, "gid").groupBy("gid").agg(F.collect_list(F.struct("n", "cls", "comp", "place")).alias("rows")).select("rows").mapInArrow(tidy(_apart), "a long, b long, na long, nb long")
+    apart = placed.join(mixed, "gid").groupBy("gid").agg(F.collect_list(F.struct("n", "cls", "comp", "place")).alias("rows")).select("rows").transform(in_arrow, _apart, "a long, b long, na long, nb long")
     second = stored(spark, apart.distinct().join(first.select("a", "b").distinct(), ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
         edges = edges.unionByName(verify(second, rows, reps, spark))

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, flat, table, tidy
+from .common import bounded, flat, in_arrow, table
 
 #: Bound of the labelled sample: about so many texts of each language. The vocabulary is what these texts share.
 PER_LANGUAGE = 300
 LANDMARKS = 96
+#: Texts scored by one product: a text is a row of up to 3 * GRAMS floats.
+ROWS = 128
 GRAMS = 6000
 RIDGE = 1e-2
 LETTER = re.compile(r"[^\W\d_]")
@@ -81,7 +83,8 @@ class Model:
             if len(ids):
                 keep = np.flatnonzero((ids >= 0) & (owner[: len(ids)] == owner[n - 1 :]))
                 cells[owner[keep] + ids[keep]] = 1
-        return out / np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
+        out /= np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
+        return out
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return (self.presence(data, offsets) @ self.landmarks.T) @ self.weights
@@ -150,8 +153,8 @@ def predict(docs: DataFrame, model: Model | None, spark: SparkSession) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for big in bounded(batches, "text"):
-            for at in range(0, big.num_rows, 512):
-                batch = big.slice(at, 512)
+            for at in range(0, big.num_rows, ROWS):
+                batch = big.slice(at, ROWS)
                 text = batch.column(batch.schema.get_field_index("text"))
                 letters = np.array([bool(t and LETTER.search(t)) for t in text.to_pylist()])
                 pred, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
@@ -164,7 +167,7 @@ def predict(docs: DataFrame, model: Model | None, spark: SparkSession) -> DataFr
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    return docs.mapInArrow(tidy(run), StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()))
+    return docs.transform(in_arrow, run, StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

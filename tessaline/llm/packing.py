@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, stored, table, tidy
+from .common import bounded, in_arrow, stored, table
 from .token_counts import PLAIN, Memory, plain_pattern
 
 CAPACITY = 2048
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), PIECES_DDL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_arrow, run, PIECES_DDL)
 
 
 # ---------------------------------------------------------------- packing a histogram
@@ -301,7 +301,7 @@ def pack(docs: DataFrame, tokenizer: str, spark: SparkSession, capacity: int = C
             at = np.searchsorted(order, length * big + rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(plan["sequence"][at] + rank - plan["low"][at]), pa.array(plan["offset"][at])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, PIECES_DDL + ", sequence_id long, offset long")
+    return ranked.transform(in_arrow, run, PIECES_DDL + ", sequence_id long, offset long")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
