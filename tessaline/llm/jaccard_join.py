@@ -32,6 +32,7 @@ NUMERATOR, DENOMINATOR = 80, 100
 SKETCH_BITS = 22
 BLOCK_BITS = 16
 FRAGMENT = 512  # shingles of a pivot in a fragment, about
+CROWD = 256  # classes compared with a pivot in one task, about; more of them are spread by salts
 FLUSH = 500_000  # postings that a map task holds
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -279,34 +280,41 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns text, cls, targets (pivot and its size). Rows (pivot, frag, role, cls, shingles): role 0 is the pivot's own."""
-    schema = pa.schema([("pivot", pa.int64()), ("frag", pa.int32()), ("role", pa.int32()), ("cls", pa.int64()), ("shingles", pa.binary())])
+    """Columns text, cls, targets (pivot, its size, salts from low to high). Rows (pivot, frag, salt, role, cls, shingles): role 0 is the pivot's own."""
+    schema = pa.schema([("pivot", pa.int64()), ("frag", pa.int32()), ("salt", pa.int64()), ("role", pa.int32()), ("cls", pa.int64()), ("shingles", pa.binary())])
     for batch in bounded(batches, "text"):
         h, offsets = shingle_sets(*flat(batch.column(0)))
         high = (h >> U64(32)).astype(np.int64)
-        out: list[list] = [[], [], [], [], []]
+        out, held = [[] for _ in schema], 0
         for k, (cls, targets) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
             a, b = offsets[k], offsets[k + 1]
-            for pivot, n in ((t["pivot"], t["n"]) for t in targets):
-                count = 1 + n // FRAGMENT
+            for t in targets:
+                count = 1 + t["n"] // FRAGMENT
                 cut = np.searchsorted(high[a:b], np.arange(count + 1) * (1 << 32) // count + (np.arange(count + 1) == count))
                 for f in range(count):
-                    if cut[f] < cut[f + 1]:
-                        for column, value in zip(out, (pivot, f, int(pivot != cls), cls, h[a + cut[f] : a + cut[f + 1]].tobytes())):
+                    if cut[f] == cut[f + 1]:
+                        continue
+                    shingles = h[a + cut[f] : a + cut[f + 1]].tobytes()
+                    for salt in range(t["low"], t["high"]):
+                        for column, value in zip(out, (t["pivot"], f, salt, int(t["pivot"] != cls), cls, shingles)):
                             column.append(value)
+                        held += len(shingles)
+                        if held > 4 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                            out, held = [[] for _ in schema], 0
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by pivot, fragment and role: the partial overlap of each class with the pivot in that fragment."""
+    """Of rows sorted by pivot, fragment, salt and role: the partial overlap of each class with the pivot in that fragment."""
     at, own = None, np.zeros(0, np.uint64)
     for batch in batches:
         a, b, common = [], [], []
-        for pivot, frag, role, cls, raw in zip(*(c.to_pylist() for c in batch.columns)):
+        for pivot, frag, salt, role, cls, raw in zip(*(c.to_pylist() for c in batch.columns)):
             if role == 0:
-                at, own = (pivot, frag), np.frombuffer(raw, np.uint64)
-            elif at == (pivot, frag):
+                at, own = (pivot, frag, salt), np.frombuffer(raw, np.uint64)
+            elif at == (pivot, frag, salt):
                 other = np.frombuffer(raw, np.uint64)
                 place = np.searchsorted(own, other)
                 place[place == len(own)] = 0
@@ -317,13 +325,25 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, spark: SparkSession) -> DataFrame:
-    """The pairs (a, b, na, nb) that reach the threshold, exactly, as (a, b). b is the pivot side."""
+    """The pairs (a, b, na, nb) that reach the threshold, exactly, as (a, b). b is the pivot side.
+
+    The classes of a crowded pivot are dealt to several salts, and the pivot's
+    fragments go to each of them, so no task has more than about CROWD classes
+    of one fragment.
+    """
     pairs = stored(spark, pairs.select("a", "b", "na", "nb").distinct(), "pairs")
-    sent = pairs.select(F.col("a").alias("cls"), F.struct(F.col("b").alias("pivot"), F.col("nb").alias("n")).alias("to"))
-    home = pairs.select(F.col("b").alias("cls"), F.struct(F.col("b").alias("pivot"), F.col("nb").alias("n")).alias("to")).distinct()
+    crowded = pairs.groupBy("b").agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD).select("b", F.ceil(F.col("_n") / CROWD).alias("salts"))
+    salted = pairs.join(crowded, "b", "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long")))
+    salt = F.pmod(F.xxhash64("a"), F.col("salts"))
+
+    def target(low, high):
+        return F.struct(F.col("b").alias("pivot"), F.col("nb").alias("n"), low.cast("long").alias("low"), high.cast("long").alias("high")).alias("to")
+
+    sent = salted.select(F.col("a").alias("cls"), target(salt, salt + 1))
+    home = salted.select(F.col("b").alias("cls"), target(F.lit(0), F.col("salts"))).distinct()
     targets = sent.unionByName(home).groupBy("cls").agg(F.collect_set("to").alias("targets")).join(reps, "cls").select("rep", "cls", "targets")
-    fragments = rows.join(targets, F.col("doc_id") == F.col("rep")).select("text", "cls", "targets").transform(in_arrow, _fragments, "pivot long, frag int, role int, cls long, shingles binary")
-    dealt = fragments.repartition(shuffle_partitions(spark), "pivot", "frag").sortWithinPartitions("pivot", "frag", "role")
+    fragments = rows.join(targets, F.col("doc_id") == F.col("rep")).select("text", "cls", "targets").transform(in_arrow, _fragments, "pivot long, frag int, salt long, role int, cls long, shingles binary")
+    dealt = fragments.repartition(shuffle_partitions(spark), "pivot", "frag", "salt").sortWithinPartitions("pivot", "frag", "salt", "role")
     counts = dealt.transform(in_arrow, _overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
     return pairs.join(counts, ["a", "b"]).where(F.col("common") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("common")) * NUMERATOR).select("a", "b")
 

@@ -103,6 +103,20 @@ def test_jaccard_join_of_repeated_rows_and_null_ids(spark):
     assert len(got) == 5 and sorted(r.component_id for r in got if r.doc_id in (4, 9)) == [4, 4, 4]
 
 
+def test_jaccard_join_of_a_crowded_pivot(spark, monkeypatch):
+    from tessaline.llm import jaccard_join as module
+
+    monkeypatch.setattr(module, "CROWD", 3)
+    base, out = [f"w{k}" for k in range(700)], []
+    for k in range(40):
+        text = list(base)
+        for at in range(k % 28):
+            text[25 * at] = f"x{k}"
+        out.append((k, " ".join(text)))
+    df = spark.createDataFrame(out, "doc_id long, text string").repartition(5)
+    assert rows(module.jaccard_join(df, spark), "doc_id", "n_shingles", "component_id") == brute.near(out)
+
+
 def test_suffix_dedup(spark, docs, frame, empty):
     from tessaline.llm.suffix_dedup import remove_repeats
 
