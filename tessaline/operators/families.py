@@ -50,12 +50,12 @@ def unary(df: DataFrame, features: Sequence[Feature], exclude: Iterable[str] = (
         out += [derive(fx.reciprocal(s.sd), [f], f"1/|{f.label}|", "reciprocal") for f, s in numeric if s.sd > fx.TINY]
     if "rank" not in exclude:
         for f, _ in numeric:
-            if (reference := distinct_counts(df, f)) is not None:
-                out.append(derive("rank", [f], f"rank({f.label})", "rank", values=tuple(reference[0]), counts=tuple(reference[1])))
+            values, counts = distinct_counts(df, f)
+            out.append(derive("rank", [f], f"rank({f.label})", "rank", values=values, counts=counts))
     if "onehot" not in exclude:
         for f in features:
-            if f.kind == "categorical" and (levels := distinct_counts(df, f)) is not None:
-                out += [derive(fx.onehot(v), [f], f"{f.label}=={v:g}", "onehot", kind="bool") for v in levels[0]]
+            if f.kind == "categorical":
+                out += [derive(fx.onehot(v), [f], f"{f.label}=={v:g}", "onehot", kind="bool") for v in distinct_counts(df, f)[0]]
     return out
 
 

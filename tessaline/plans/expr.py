@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .levels import Levels, below, levels_from_json
+
 
 @dataclass(frozen=True)
 class Feature:
@@ -19,7 +21,7 @@ class Feature:
 
     key is structural: two features of one key have the same values. A raw
     input has no children and its column name as template; a rank carries its
-    reference values instead of a template.
+    reference values instead of a template, many of them as a file (Levels).
     """
 
     template: str
@@ -28,7 +30,7 @@ class Feature:
     family: str = field(default="raw", compare=False)
     kind: str = field(default="numeric", compare=False)
     complexity: int = field(default=0, compare=False)
-    values: tuple[float, ...] = ()
+    values: tuple[float, ...] | Levels = ()
     counts: tuple[float, ...] = ()
 
     @property
@@ -59,12 +61,23 @@ def derive(template: str, children: Sequence[Feature], label: str, family: str,
     return Feature(template, tuple(children), label, family, complexity=1 + max(c.complexity for c in children), **more)
 
 
+def _mapped_rank(levels: Levels):
+    path, digest, n = levels.path, levels.digest, levels.total
+
+    @F.pandas_udf("double")
+    def rank(x: pd.Series) -> pd.Series:
+        found = below(path, digest, x.to_numpy())
+        return pd.Series(np.where(found < 0, n, found) / n)
+
+    return rank
+
+
 def _rank(values, counts):
-    edges, below, n = np.array(values), np.concatenate(([0.0], np.cumsum(counts))), float(np.sum(counts))
+    edges, smaller, n = np.array(values), np.concatenate(([0.0], np.cumsum(counts))), float(np.sum(counts))
 
     @F.pandas_udf("double")
     def rank(x: pd.Series) -> pd.Series:
-        return pd.Series(below[np.searchsorted(edges, x.to_numpy(), side="left")] / n)
+        return pd.Series(smaller[np.searchsorted(edges, x.to_numpy(), side="left")] / n)
 
     return rank
 
@@ -96,6 +109,8 @@ def with_features(df: DataFrame, features: Iterable[Feature], prefix: str = "f")
             name = f"__{prefix}{len(names)}"
             if not f.children:
                 made[name] = F.col(f"`{f.template}`").cast("double")
+            elif isinstance(f.values, Levels):
+                made[name] = _mapped_rank(f.values.sent(df.sparkSession))(F.col(names[f.children[0].key]))
             elif f.values:
                 made[name] = _rank(f.values, f.counts)(F.col(names[f.children[0].key]))
             else:
@@ -143,7 +158,8 @@ def to_json(features: Sequence[Feature]) -> str:
         if f.key not in index:
             children = [add(c) for c in f.children]
             index[f.key] = len(nodes)
-            nodes.append({"template": f.template, "children": children, "label": f.label, "family": f.family, "kind": f.kind, "complexity": f.complexity, "values": f.values, "counts": f.counts})
+            large = isinstance(f.values, Levels)
+            nodes.append({"template": f.template, "children": children, "label": f.label, "family": f.family, "kind": f.kind, "complexity": f.complexity, "values": f.values.to_json() if large else f.values, "counts": f.counts})
         return index[f.key]
 
     return json.dumps({"features": [add(f) for f in features], "nodes": nodes}, allow_nan=False)
@@ -152,6 +168,6 @@ def to_json(features: Sequence[Feature]) -> str:
 def from_json(text: str) -> list[Feature]:
     spec, made = json.loads(text), []
     for n in spec["nodes"]:
-        n["children"], n["values"], n["counts"] = tuple(made[k] for k in n["children"]), tuple(n["values"]), tuple(n["counts"])
+        n["children"], n["values"], n["counts"] = tuple(made[k] for k in n["children"]), levels_from_json(n["values"]) if isinstance(n["values"], dict) else tuple(n["values"]), tuple(n["counts"])
         made.append(Feature(**n))
     return [made[k] for k in spec["features"]]

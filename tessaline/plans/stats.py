@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .expr import Feature, interpreted, with_features
+from .levels import Levels, collect_levels
 
 #: Distinct values up to which a column is boolean, and over which it is numeric.
 BOOL_LEVELS, NUMERIC_LEVELS = 2, 20
-#: Most distinct reference values that a rank feature broadcasts (16 bytes each).
+#: Most distinct reference values that a rank feature carries in the plan (16 bytes each); more go to the executors as a file, with the same ranks.
 RANK_LEVELS = 1_000_000
 
 
@@ -74,15 +75,16 @@ def infer_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     return {c: t or majority for c, t in out.items()}
 
 
-def distinct_counts(df: DataFrame, feature: Feature) -> tuple[list[float], list[float]] | None:
-    """The distinct values in order and how often each occurs; None over RANK_LEVELS of them."""
+def distinct_counts(df: DataFrame, feature: Feature) -> tuple[tuple[float, ...] | Levels, tuple[float, ...]]:
+    """The distinct values in order and how often each occurs; over RANK_LEVELS of them as Levels, which hold both."""
     wide, (name,) = with_features(df, [feature])
     counts = wide.groupBy(name).count()
     rows = counts.limit(RANK_LEVELS + 1).collect()
     if len(rows) > RANK_LEVELS:
-        return None
+        del rows
+        return collect_levels(counts), ()
     order = np.argsort([r[0] for r in rows])
-    return [float(rows[k][0]) for k in order], [float(rows[k][1]) for k in order]
+    return tuple(float(rows[k][0]) for k in order), tuple(float(rows[k][1]) for k in order)
 
 
 def empirical_rank(df: DataFrame, reference: DataFrame, column: str, alias: str) -> DataFrame:
