@@ -11,6 +11,11 @@ others are edits has no rarer shingles than those they share); then, with the
 components that this gives, whatever two classes of a group are still apart. A comparison cuts the global order into fragments: partial
 overlaps are counted fragment by fragment in tasks of their own and summed per
 pair.
+
+Links join only classes of one component, so all links are those of its pairs.
+A component of two classes is one link; in a larger one every pair is
+compared: its classes are dealt by hash to chunks, and each two chunks meet in
+a task, which multiplies the incidence matrices of their shingles.
 """
 
 from __future__ import annotations
@@ -33,6 +38,10 @@ SKETCH_BITS = 22
 BLOCK_BITS = 16
 FRAGMENT = 512  # shingles of a pivot in a fragment, about
 CROWD = 256  # classes compared with a pivot in one task, about; more of them are spread by salts
+CHUNK = 512  # classes of a component in a chunk, about
+CHUNK_SHINGLES = 1 << 18  # shingles of a chunk, about, unless a single class has more
+PIECE = 1 << 16  # shingles of the largest class of a component in a piece, about
+STRIP = 4096  # shingles in a strip of an incidence matrix
 FLUSH = 500_000  # postings that a map task holds
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -348,11 +357,121 @@ def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, spark: SparkSessi
     return pairs.join(counts, ["a", "b"]).where(F.col("common") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("common")) * NUMERATOR).select("a", "b")
 
 
-def jaccard_join(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns text, cls, comp, chunk, chunks, pieces. Rows (comp, low, high, piece, cls, chunk, n, shingles): a piece of a class for each two chunks that meet."""
+    schema = pa.schema([("comp", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("piece", pa.int32()), ("cls", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+    for batch in bounded(batches, "text"):
+        h, offsets = shingle_sets(*flat(batch.column(0)))
+        own = class_ids(h, offsets).tolist()
+        out, held = [[] for _ in schema], 0
+        for k, (cls, comp, chunk, chunks, pieces) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+            if own[k] != cls:
+                continue  # another text of the same doc_id
+            a, b = int(offsets[k]), int(offsets[k + 1])
+            cut = [a, *(a + np.searchsorted(h[a:b], np.array([(p << 64) // pieces for p in range(1, pieces)], np.uint64))).tolist(), b]
+            for piece in range(pieces):
+                if cut[piece] == cut[piece + 1]:
+                    continue
+                shingles = h[cut[piece] : cut[piece + 1]].tobytes()
+                for other in range(chunks):
+                    for column, value in zip(out, (comp, min(chunk, other), max(chunk, other), piece, cls, chunk, b - a, shingles)):
+                        column.append(value)
+                    held += len(shingles) + 64
+                    if held > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                        out, held = [[] for _ in schema], 0
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share."""
+    shingle = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(shingle, return_inverse=True, return_counts=True)
+    keep = times[column] > 1  # in one set only: shared with none
+    number = np.cumsum(times > 1) - 1
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, STRIP):
+        a, b = np.searchsorted(column, (at, at + STRIP))
+        strip = np.zeros((len(sets), min(STRIP, int(column[b - 1]) + 1 - at)), np.float32)
+        strip[row[a:b], column[a:b] - at] = 1
+        out += strip @ strip.T  # at most STRIP a cell, exact in single precision
+    return out.astype(np.int64)
+
+
+LINKS = "a long, b long, na long, nb long, common long, links long"
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by component, chunks, piece and class (and pieces of the component): the links of each class, b null; or, where a class has several pieces, the partial overlap of each pair."""
+    schema = pa.schema([(x.split()[0], pa.int64()) for x in LINKS.split(", ")])
+    at, held = None, []
+
+    def finish() -> Iterator[pa.RecordBatch]:
+        cls, chunk, n, sets = (list(x) for x in zip(*held))
+        (_, low, high, _), pieces = at
+        common, cls, chunk, n = common_shingles(sets), np.array(cls), np.array(chunk), np.array(n)
+        # Pairs within a chunk belong to the task where it meets itself.
+        upper = np.triu(np.ones(common.shape, bool), 1)
+        if low < high:
+            upper &= chunk[:, None] != chunk
+        if pieces == 1:
+            upper &= common * DENOMINATOR >= (n[:, None] + n - common) * NUMERATOR
+            links = upper.sum(0) + upper.sum(1)
+            own = np.flatnonzero(links)
+            none = pa.nulls(len(own), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(cls[own]), none, none, none, none, pa.array(links[own])], schema=schema)
+            return
+        i, j = np.nonzero(upper & (common > 0) & (np.minimum(n[:, None], n) * DENOMINATOR >= np.maximum(n[:, None], n) * NUMERATOR))
+        for k in range(0, len(i), 50_000):
+            x, y = i[k : k + 50_000], j[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(cls[x]), pa.array(cls[y]), pa.array(n[x]), pa.array(n[y]), pa.array(common[x, y]), pa.nulls(len(x), pa.int64())], schema=schema)
+
+    for batch in batches:
+        for comp, low, high, piece, pieces, cls, chunk, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            key = (comp, low, high, piece), pieces
+            if key != at:
+                if held:
+                    yield from finish()
+                at, held = key, []
+            if not held or held[-1][0] != cls:  # a repeated row comes twice
+                held.append((cls, chunk, n, np.frombuffer(raw, np.uint64)))
+    if held:
+        yield from finish()
+
+
+def count_links(classes: DataFrame, rows: DataFrame, spark: SparkSession) -> DataFrame:
+    """classes: (cls, n, rep, comp), all classes of components of several. Rows (cls, links): with how many other classes each one reaches the threshold."""
+    sizes = classes.groupBy("comp").agg(F.count("*").alias("_k"), F.sum("n").alias("_sum"), F.max("n").alias("_max"))
+    sizes = sizes.select("comp", "_k", F.greatest(F.ceil(F.col("_k") / CHUNK), F.ceil(F.col("_sum") / CHUNK_SHINGLES)).alias("_c"), F.ceil(F.col("_max") / PIECE).cast("int").alias("pieces"))
+    sizes = sizes.select("comp", "_k", F.least("_c", "_k").alias("chunks"), "pieces")
+    sized = stored(spark, classes.join(sizes, "comp"), "sized")
+    two = sized.where("_k = 2").select("cls", F.lit(1).cast("long").alias("links"))
+    more = sized.where("_k > 2").select("rep", "cls", "comp", F.pmod(F.xxhash64("cls"), F.col("chunks")).alias("chunk"), "chunks", "pieces")
+    sent = rows.join(more, F.col("doc_id") == F.col("rep")).select("text", "cls", "comp", "chunk", "chunks", "pieces")
+    dealt = sent.transform(in_arrow, _dealt, "comp long, low long, high long, piece int, cls long, chunk long, n long, shingles binary")
+    pieces = more.select("comp", "pieces").where("pieces > 1").distinct()
+    dealt = dealt.join(F.broadcast(pieces), "comp", "left").select("comp", "low", "high", "piece", F.coalesce("pieces", F.lit(1)).alias("pieces"), "cls", "chunk", "n", "shingles")
+    met = dealt.repartition(shuffle_partitions(spark), "comp", "low", "high", "piece").sortWithinPartitions("comp", "low", "high", "piece", "cls").transform(in_arrow, _meet, LINKS)
+    met = stored(spark, met, "met")
+    pairs = met.where("b is not null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("common").alias("common"))
+    pairs = pairs.where(F.col("common") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("common")) * NUMERATOR)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"), F.lit(1).cast("long").alias("links"))
+    return two.unionByName(met.where("b is null").select(F.col("a").alias("cls"), "links")).unionByName(ends).groupBy("cls").agg(F.sum("links").alias("links"))
+
+
+def jaccard_join(docs: DataFrame, spark: SparkSession, links: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id, n_links, component_id.
 
     Documents link at a Jaccard similarity of 0.8 or more of their sets of
     five-word shingles (lower-cased A-Z; words between ASCII white space).
+    Documents of equal sets are a class, and class_id is its smallest doc_id;
+    n_links is the number of other classes that a document's own links with
+    (0 for a text without shingles; links=False leaves class_id and n_links out).
     component_id is the smallest doc_id that links lead to. A text with fewer
     than five words is one shingle; a null, empty or blank text has none and
     links with nothing. Repeated rows (one doc_id and text) are one member and
@@ -383,10 +502,15 @@ def jaccard_join(docs: DataFrame, spark: SparkSession) -> DataFrame:
     if not second.isEmpty():
         edges = edges.unionByName(verify(second, rows, reps, spark))
         labels = components(edges, spark)
-    comp = docs_of.join(labels, F.col("cls") == F.col("node"), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "cls")).alias("comp"))
+    comp = docs_of.join(labels, F.col("cls") == F.col("node"), "left").select("doc_id", "n", "cls", F.when(F.col("n") > 0, F.coalesce("comp", "cls")).alias("comp"))
     least = comp.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n"))
-    joined = comp.join(least.where("_n > 1"), "comp", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"))
+    joined = comp.join(least.where("_n > 1"), "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("_least", "doc_id").alias("component_id"))
+    if not links:
+        return joined.drop("cls")
+    classes = reps.join(labels, F.col("cls") == F.col("node")).join(docs_of.where("n > 0").groupBy("cls").agg(F.first("n").alias("n")), "cls").select("cls", "n", "rep", "comp")
+    counted = reps.join(count_links(classes, rows, spark), "cls", "left").select(F.col("cls").alias("_cls"), "rep", "links")
+    joined = joined.join(counted, (F.col("cls") == F.col("_cls")) & (F.col("n_shingles") > 0), "left")
+    return joined.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), "component_id")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,5 +519,5 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates the document with the smallest doc_id stays; ids that are null stay."""
-    gone = jaccard_join(docs.where("doc_id is not null"), spark).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = jaccard_join(docs.where("doc_id is not null"), spark, links=False).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")

@@ -372,3 +372,25 @@ def test_pipeline_matches_brute_force(spark, docs, tmp_path):
     assert not any(r[-1] and r[2] > 30 for r in brute.leaks(kept[names[3]], items))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == {d for d, _ in kept[names[3]]}
+
+
+@pytest.mark.parametrize("chunk, piece", [(512, 1 << 16), (4, 16)])
+def test_jaccard_join_counts_all_links(spark, docs, frame, monkeypatch, chunk, piece):
+    from itertools import combinations
+
+    from tessaline.llm import jaccard_join as module
+
+    monkeypatch.setattr(module, "CHUNK", chunk)
+    monkeypatch.setattr(module, "PIECE", piece)
+    monkeypatch.setattr(module, "STRIP", 64 if chunk == 4 else 4096)
+    classes = {}
+    for d, t in docs:
+        classes.setdefault(frozenset(brute.shingles(t)), []).append(d)
+    links = dict.fromkeys(classes, 0)
+    for a, b in combinations([c for c in classes if c], 2):
+        if 100 * len(a & b) >= 80 * len(a | b):
+            links[a] += 1
+            links[b] += 1
+    want = sorted((d, min(own) if c else d, links[c]) for c, own in classes.items() for d in own)
+    assert max(links.values()) > 5
+    assert rows(module.jaccard_join(frame, spark), "doc_id", "class_id", "n_links") == want
