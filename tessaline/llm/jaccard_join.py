@@ -294,8 +294,11 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in bounded(batches, "text"):
         h, offsets = shingle_sets(*flat(batch.column(0)))
         high = (h >> U64(32)).astype(np.int64)
+        own = class_ids(h, offsets).tolist()
         out, held = [[] for _ in schema], 0
         for k, (cls, targets) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            if own[k] != cls:
+                continue  # another text of the same doc_id
             a, b = offsets[k], offsets[k + 1]
             for t in targets:
                 count = 1 + t["n"] // FRAGMENT
@@ -316,14 +319,15 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by pivot, fragment, salt and role: the partial overlap of each class with the pivot in that fragment."""
-    at, own = None, np.zeros(0, np.uint64)
+    """Of rows sorted by pivot, fragment, salt, role and class: the partial overlap of each class with the pivot in that fragment."""
+    at, last, own = None, None, np.zeros(0, np.uint64)
     for batch in batches:
         a, b, common = [], [], []
         for pivot, frag, salt, role, cls, raw in zip(*(c.to_pylist() for c in batch.columns)):
             if role == 0:
-                at, own = (pivot, frag, salt), np.frombuffer(raw, np.uint64)
-            elif at == (pivot, frag, salt):
+                at, last, own = (pivot, frag, salt), None, np.frombuffer(raw, np.uint64)
+            elif at == (pivot, frag, salt) and cls != last:  # a repeated row comes twice
+                last = cls
                 other = np.frombuffer(raw, np.uint64)
                 place = np.searchsorted(own, other)
                 place[place == len(own)] = 0
@@ -352,7 +356,7 @@ def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, spark: SparkSessi
     home = salted.select(F.col("b").alias("cls"), target(F.lit(0), F.col("salts"))).distinct()
     targets = sent.unionByName(home).groupBy("cls").agg(F.collect_set("to").alias("targets")).join(reps, "cls").select("rep", "cls", "targets")
     fragments = rows.join(targets, F.col("doc_id") == F.col("rep")).select("text", "cls", "targets").transform(in_arrow, _fragments, "pivot long, frag int, salt long, role int, cls long, shingles binary")
-    dealt = fragments.repartition(shuffle_partitions(spark), "pivot", "frag", "salt").sortWithinPartitions("pivot", "frag", "salt", "role")
+    dealt = fragments.repartition(shuffle_partitions(spark), "pivot", "frag", "salt").sortWithinPartitions("pivot", "frag", "salt", "role", "cls")
     counts = dealt.transform(in_arrow, _overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
     return pairs.join(counts, ["a", "b"]).where(F.col("common") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("common")) * NUMERATOR).select("a", "b")
 

@@ -394,3 +394,20 @@ def test_jaccard_join_counts_all_links(spark, docs, frame, monkeypatch, chunk, p
     want = sorted((d, min(own) if c else d, links[c]) for c, own in classes.items() for d in own)
     assert max(links.values()) > 5
     assert rows(module.jaccard_join(frame, spark), "doc_id", "class_id", "n_links") == want
+
+
+def test_jaccard_join_of_repeated_half_similar_rows(spark):
+    from tessaline.llm.jaccard_join import jaccard_join
+
+    shared, left, right = (" ".join(f"{k}{i}" for i in range(n)) for k, n in (("s", 200), ("a", 90), ("b", 90)))
+    one, other = f"{left} {shared}", f"{shared} {right}"
+    # The fillers make the shared shingles the rarest of both, so that the pair is compared.
+    fill = [(100 + k, f"{own} " + " ".join(f"{k}z{i}" for i in range(300))) for k, own in enumerate([left, right] * 20)]
+    out = [(1, one), (1, one), (2, other), (2, other), (3, one + " end"), *fill]
+    df = spark.createDataFrame(out, "doc_id long, text string").repartition(3)
+    assert rows(jaccard_join(df, spark, links=False), "doc_id", "n_shingles", "component_id") == brute.near(out)
+    # Two texts under one doc_id: each is compared as itself.
+    out = [(1, one), (1, right), (2, other), (2, left), (3, one + " end"), *fill]
+    df = spark.createDataFrame(out, "doc_id long, text string").repartition(3)
+    got = [r for r in jaccard_join(df, spark, links=False).collect() if r.doc_id < 100]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [x for x in brute.near(out) if x[0] < 100]
