@@ -30,12 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one is set."""
+    """The folder of spark.checkpoint.dir; where that is unset a temporary one is set on one machine, and an error raised on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='tessaline-')}"
-        if not current.isDefined():
+        if current.isDefined():
+            folder = current.get()
+        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
+        else:
+            folder = f"file://{tempfile.mkdtemp(prefix='tessaline-')}"
             spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -55,9 +59,51 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def doc_key(doc_id: str = "doc_id", text: str = "text"):
-    """The row's own id, or for a null id a key made of its text, so that such rows stay apart."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+#: Columns of a row's key.
+KEY = ["__key", "__tag"]
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs with the columns KEY: the doc_id (for a null id a hash of the text) and another hash of the text.
+
+    Rows of one key are repeated rows: same doc_id, same text. Rows that share a
+    doc_id with different texts, or have none, stay apart. The key is made of
+    the row alone, so it is the same whenever and wherever it is computed.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)), "__tag": F.xxhash64(F.lit(0x7465737361), text)})
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, once: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in gone, and with one row of each key in once (both small tables of KEY, stored)."""
+    keyed = with_key(docs)
+    out = keyed.join(gone.unionByName(once), KEY, "left_anti")
+    if not once.isEmpty():
+        out = out.unionByName(keyed.join(once, KEY, "left_semi").dropDuplicates(KEY))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: A key of a join that more than 1/HOT of the rows have goes by broadcast; there are fewer than HOT of them.
+HOT = 10_000
+
+
+def join_evenly(left: DataFrame, right: DataFrame, on: str, weight: str, spread: list[str]) -> DataFrame:
+    """left joined with right (left outer; right has each `on` once and, as `weight`, how many rows of left have it, or more).
+
+    The rows of right that more than 1/HOT of all rows have, fewer than HOT of
+    them, are broadcast, so that no task gets all rows of a hot key; the others
+    meet in a shuffle, where rows that have their match already, or a null, are
+    dealt out by the columns `spread`. right should be stored: it is read three times.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    values = [c for c in right.columns if c not in (on, weight)]
+    hot = F.col(weight) * HOT > F.lit(total)
+    many = right.where(hot).select(F.col(on), F.lit(True).alias("__hot"), *[F.col(c).alias(f"__{c}") for c in values])
+    few = right.where(~hot).select(F.col(on).alias("__on"), F.lit(0).cast("long").alias("__salt"), *values)
+    marked = left.join(F.broadcast(many), on, "left")
+    marked = marked.withColumn("__own", F.when(F.col("__hot") | F.col(on).isNull(), F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1).otherwise(F.lit(0).cast("long")))
+    met = marked.join(few, (F.col(on) == F.col("__on")) & (F.col("__own") == F.col("__salt")), "left")
+    return met.select(*left.columns, *[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) for c in values])
 
 
 def bounded(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -130,6 +176,59 @@ class Powers:
 POWERS = Powers()
 
 
+#: The four largest primes under 2^31 and a base for each.
+PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
+BASES = (1103527590, 1597463007, 741103597, 2027808453)
+FIELD_BLOCK = 1 << 22
+
+
+class Fields:
+    """Polynomial hashes in four prime fields. Two strings of n bytes that differ agree in one field for at most n of its 2^31 bases."""
+
+    def __init__(self):
+        self.n, self.tables = 0, []
+
+    def powers(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per field the powers of its base and of the inverse, n of them at least."""
+        if n > self.n:
+            self.n = max(n, 2 * self.n, 1 << 16)
+            self.tables = [tuple(self._powers(b, p) for b in (base, pow(base, -1, p))) for base, p in zip(BASES, PRIMES)]
+        return self.tables
+
+    def _powers(self, base: int, p: int) -> np.ndarray:
+        out, k = np.ones(self.n, np.uint64), 1
+        while k < self.n:
+            m = min(k, self.n - k)
+            out[k : k + m] = out[:m] * U64(pow(base, k, p)) % U64(p)
+            k *= 2
+        return out.astype(np.uint32)
+
+    def hash(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the bytes in each [start, end), of two fields each; start and end in ascending order. Works in blocks of the data."""
+        one, two, at = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64), 0
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(end, start[at] + FIELD_BLOCK, side="right")))
+            low = int(start[at])
+            piece = data[low : int(end[to - 1])].astype(np.uint64) + U64(1)
+            s, e = start[at:to] - low, end[at:to] - low
+            found = []
+            for (up, down), p in zip(self.powers(len(piece) + 1), PRIMES):
+                term = piece * up[: len(piece)]
+                if len(piece) > 1 << 24:
+                    term %= U64(p)
+                total = np.zeros(len(piece) + 1, np.uint64)
+                np.cumsum(term, out=total[1:])
+                found.append((total[e] - total[s]) % U64(p) * down[s] % U64(p))
+            size = (e - s).astype(np.uint64)
+            one[at:to] = mix(((found[0] << U64(32)) | found[1]) ^ mix(size + U64(1)))
+            two[at:to] = mix(((found[2] << U64(32)) | found[3]) ^ mix(size + U64(2)))
+            at = to
+        return one, two
+
+
+FIELDS = Fields()
+
+
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of the maximal runs of word bytes; runs never cross rows."""
     if not len(data):

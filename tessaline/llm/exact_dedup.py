@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, in_arrow, shuffle_partitions, table
+from .common import KEY, LOWER_BYTES, in_arrow, join_evenly, shuffle_partitions, stored, table, with_key, without_rows
 
 LOCAL_BYTES = 32 << 20
 BUCKET_BYTES = 48 << 20
@@ -156,6 +156,16 @@ def _verdicts(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array([None if t == LEAST else t for t in top], pa.int64()), pa.array(n, pa.int64())], schema=VERDICT)
 
 
+def verdicts(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """One row per input row: KEY, doc_id, digest, keep_id, group_size."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    partial = rows.transform(in_arrow, _local, "h long, content binary, top long, n long")
+    found = stored(spark, partial.repartition(shuffle_partitions(spark), "h").transform(in_arrow, _buckets, "digest binary, keep_id long, group_size long"), "groups")
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    keyed = with_key(rows).select(*KEY, "doc_id", F.unhex(F.sha2(F.encode(lower, "UTF-8"), 256)).alias("digest"))
+    return join_evenly(keyed, found.withColumn("_n", F.col("group_size")), "digest", "_n", KEY)
+
+
 def exact_dedup(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -163,17 +173,11 @@ def exact_dedup(docs: DataFrame, spark: SparkSession) -> DataFrame:
     empty text, and empty texts form one group. The largest doc_id of a group
     stays; null ids come after all others, and a group of null ids only keeps
     null as keep_id and all its rows. Repeated rows (one id twice) count twice
-    and are all kept or all dropped. An empty table gives an empty result.
+    and are all kept or all dropped. Rows that share a doc_id with different
+    texts are judged each by its own text. An empty table gives an empty result.
     Columns other than doc_id and text are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    partial = rows.transform(in_arrow, _local, "h long, content binary, top long, n long")
-    verdicts = partial.repartition(shuffle_partitions(spark), "h").transform(in_arrow, _buckets, "digest binary, keep_id long, group_size long")
-    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keyed = rows.select("doc_id", F.unhex(F.sha2(F.encode(lower, "UTF-8"), 256)).alias("digest"))
-    return keyed.join(verdicts, "digest", "left").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    return verdicts(docs, spark).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,9 +195,16 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def keep_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that exact deduplication keeps, with their columns as they came.
+    """Pipeline stage: one row of each group of equal texts, with its columns as they came.
 
-    A filter on the row's own id; documents without an id stay.
+    It is a row with the largest doc_id (a null id only if the group has no
+    other); of several such rows, one. The decision is by row, so rows that
+    share a doc_id with different texts do not take each other down. A null
+    text is the empty text. An empty table stays empty.
     """
-    dropped = exact_dedup(docs, spark).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    rows = stored(spark, verdicts(docs, spark).select(*KEY, "digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("best")), "verdicts")
+    several = rows.where("best").groupBy("digest").agg(F.min("__tag").alias("_tag"), F.count("*").alias("_n")).where("_n > 1")
+    ties = rows.where("best").join(several, "digest")
+    gone = rows.where("not best").select(*KEY).unionByName(ties.where("__tag <> _tag").select(*KEY)).distinct()
+    once = ties.where("__tag = _tag").select(*KEY).distinct()
+    return without_rows(docs, stored(spark, gone, "gone"), stored(spark, once, "once"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, POWERS, U64, bounded, doc_key, flat, in_arrow, mix, ranges, shuffle_partitions, stored, table, words
+from .common import FIELDS, KEY, LOWER, U64, bounded, flat, in_arrow, join_evenly, mix, ranges, shuffle_partitions, stored, table, with_key, without_rows, words
 from .graph import components
 
 SHINGLE = 5
@@ -43,63 +43,99 @@ CHUNK_SHINGLES = 1 << 18  # shingles of a chunk, about, unless a single class ha
 PIECE = 1 << 16  # shingles of the largest class of a component in a piece, about
 STRIP = 4096  # shingles in a strip of an incidence matrix
 FLUSH = 500_000  # postings that a map task holds
+MEET = 2048  # classes of a shingle's group in a chunk, about
+MOST_CLASHES = 100_000  # sets whose first 64-bit ids clash
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 STEP = U64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets): each row's set of shingles, sorted by hash.
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, offsets, checks): each row's set of shingles, sorted by hash, and a second hash of each shingle.
 
     A row with fewer words than a shingle has its whole sequence as one; a row
-    without words has none.
+    without words has none. A word counts with 124 bits of hashes in prime
+    fields, so no two words of the same length are one for a structural reason.
     """
     data = LOWER[data]
     start, end, row = words(data, offsets, ~SPACE)
     rows = len(offsets) - 1
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    h = POWERS.hash(POWERS.prefix(data), start, end)
+        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), np.zeros(0, np.uint64)
+    one, two = FIELDS.hash(data, start, end)
+    one = one + mix(two)
     per_row = np.bincount(row, minlength=rows)
-    n = len(h) - size + 1
+    n = len(one) - size + 1
     first = np.flatnonzero(row[:n] == row[size - 1 :]) if n > 0 else np.zeros(0, np.int64)
-    out = np.full(len(first), U64(size), dtype=np.uint64)
+    out, check = np.full(len(first), U64(size)), np.full(len(first), U64(~size & (1 << 64) - 1))
     for k in range(size):
-        out = mix(out * STEP + h[first + k])
+        out = mix(out * STEP + one[first + k])
+        check = mix(check * STEP + two[first + k])
     owner = row[first]
     short = np.flatnonzero((per_row > 0) & (per_row < size))
     if len(short):
         at = np.searchsorted(row, short)
         extra = per_row[short].astype(np.uint64)
+        other = ~extra
         for k in range(size - 1):
             live = per_row[short] > k
-            extra = np.where(live, mix(extra * STEP + h[np.where(live, at + k, 0)]), extra)
-        out, owner = np.concatenate((out, extra)), np.concatenate((owner, short))
+            place = np.where(live, at + k, 0)
+            extra = np.where(live, mix(extra * STEP + one[place]), extra)
+            other = np.where(live, mix(other * STEP + two[place]), other)
+        out, check, owner = np.concatenate((out, extra)), np.concatenate((check, other)), np.concatenate((owner, short))
         order = np.argsort(owner, kind="stable")
-        out, owner = out[order], owner[order]
+        out, check, owner = out[order], check[order], owner[order]
     cut = np.searchsorted(owner, np.arange(rows + 1))
-    for a, b in zip(cut[:-1], cut[1:]):
-        out[a:b].sort()
+    order = np.concatenate([a + np.argsort(out[a:b]) for a, b in zip(cut[:-1], cut[1:])])
+    out, check = out[order], check[order]
     keep = np.concatenate(([True], (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])))
-    return out[keep], np.searchsorted(owner[keep], np.arange(rows + 1))
+    return out[keep], np.searchsorted(owner[keep], np.arange(rows + 1)), check[keep]
 
 
-def class_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each row's set (sets of other sizes or members differ but for hash collisions)."""
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ STEP), dtype=np.uint64)))
-    size = np.diff(offsets).astype(np.uint64)
-    return mix(total[offsets[1:]] - total[offsets[:-1]] + size * U64(0x8CB92BA72F3D8DD7)).view(np.int64)
+def class_ids(hashes: np.ndarray, offsets: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit ids of each row's set, from the two hashes of its shingles."""
 
+    def summed(x: np.ndarray, key: int) -> np.ndarray:
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(x ^ U64(key)), dtype=np.uint64)))
+        size = np.diff(offsets).astype(np.uint64)
+        return mix(total[offsets[1:]] - total[offsets[:-1]] + size * U64(0x8CB92BA72F3D8DD7)).view(np.int64)
 
-MEMBERS = "kind int, doc_id long, n long, cls long, block int, cells binary"
+    return summed(hashes, 0x9E3779B97F4A7C15), summed(checks, 0xC2B2AE3D27D4EB4F)
+
+
+def stand_in(cls: int, check: int) -> int:
+    """The class of a set whose first id another set has too."""
+    return int.from_bytes(hashlib.blake2b(f"{cls}:{check}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def clashes(classes: DataFrame) -> dict[tuple[int, int], int]:
+    """classes: a row (cls, chk) per set. The stand-ins of sets whose first ids are the same but second ones differ, of the smallest second id none.
+
+    First ids are random in effect: of 10^11 sets about 300 pairs are the same,
+    and MOST_CLASHES bounds what is taken to the driver.
+    """
+    several = classes.groupBy("cls").agg(F.min("chk").alias("_min"), F.count("*").alias("_n")).where("_n > 1")
+    found = classes.join(several, "cls").where("chk <> _min").select("cls", "chk").limit(MOST_CLASHES + 1).collect()
+    if len(found) > MOST_CLASHES:
+        raise ValueError(f"over {MOST_CLASHES} clashes of 64-bit ids: the hash does not suit these texts")
+    return {(r[0], r[1]): stand_in(r[0], r[1]) for r in found}
+
+
+def renamed(cls: np.ndarray, check: np.ndarray, names: dict[tuple[int, int], int]) -> np.ndarray:
+    if not names:
+        return cls
+    return np.array([names.get(pair, pair[0]) for pair in zip(cls.tolist(), check.tolist())], np.int64)
+
+
+MEMBERS = "kind int, __key long, __tag long, doc_id long, n long, cls long, chk long, block int, cells binary"
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0: doc_id, n, cls. Rows of kind 1: a block of this task's sketch."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("block", pa.int32()), ("cells", pa.binary())])
+    """Rows of kind 0: key, doc_id, n, cls, chk. Rows of kind 1: a block of this task's sketch."""
+    schema = pa.schema([("kind", pa.int32()), ("__key", pa.int64()), ("__tag", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("chk", pa.int64()), ("block", pa.int32()), ("cells", pa.binary())])
     sketch, held, count = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
     for batch in bounded(batches, "text"):
-        h, offsets = shingle_sets(*flat(batch.column(1)))
+        h, offsets, checks = shingle_sets(*flat(batch.column(3)))
         held.append((h >> U64(64 - SKETCH_BITS)).astype(np.int32))
         count += len(h)
         if count > 2_000_000:
@@ -107,13 +143,13 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, count = [], 0
         m = batch.num_rows
         none = pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array(np.diff(offsets)), pa.array(class_ids(h, offsets)), *none], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), *batch.columns[:3], pa.array(np.diff(offsets)), *(pa.array(x) for x in class_ids(h, offsets, checks)), *none], schema=schema)
     if count:
         sketch += np.bincount(np.concatenate(held), minlength=len(sketch)).astype(np.uint32)
     if sketch.any():
         blocks = sketch.reshape(-1, 1 << BLOCK_BITS)
         m = len(blocks)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), *[pa.nulls(m, pa.int64())] * 3, pa.array(np.arange(m, dtype=np.int32)), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), *[pa.nulls(m, pa.int64())] * 6, pa.array(np.arange(m, dtype=np.int32)), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], schema=schema)
 
 
 def _sum_blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +195,11 @@ def _prefixes(shared, parts: int):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = shared.value
+        size, names = shared.value
         held, count, seen = [], 0, set()
         for batch in bounded(batches, "text"):
-            h, offsets = shingle_sets(*flat(batch.column(1)))
-            cls = class_ids(h, offsets)
+            h, offsets, checks = shingle_sets(*flat(batch.column(0)))
+            cls = renamed(*class_ids(h, offsets, checks), names)
             fresh = []
             for k, c in enumerate(cls.tolist()):
                 if offsets[k] < offsets[k + 1] and c not in seen:
@@ -268,16 +304,19 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of a group whose classes are in different components and may reach the threshold by size and place."""
+    """The pairs of two chunks of a group whose classes are in different components and may reach the threshold by size and place."""
     for batch in batches:
         out, held = [], 0
-        for rows in batch.column(0).to_pylist():
-            n, cls, comp, place = (np.array([r[k] for r in rows], np.int64) for k in ("n", "cls", "comp", "place"))
+        for low, high, rows in zip(*(c.to_pylist() for c in batch.columns)):
+            n, cls, comp, place, chunk = (np.array([r[k] for r in rows], np.int64) for k in ("n", "cls", "comp", "place", "chunk"))
             order = np.lexsort((cls, n))
-            n, cls, comp, place = (x[order] for x in (n, cls, comp, place))
+            n, cls, comp, place, chunk = (x[order] for x in (n, cls, comp, place, chunk))
             for i in range(len(n) - 1):
                 to = int(np.searchsorted(n, n[i] * DENOMINATOR // NUMERATOR, side="right"))
-                other = i + 1 + np.flatnonzero((comp[i + 1 : to] != comp[i]) & possible(n[i + 1 : to], place[i + 1 : to], n[i], place[i]))
+                live = (comp[i + 1 : to] != comp[i]) & possible(n[i + 1 : to], place[i + 1 : to], n[i], place[i])
+                if low < high:
+                    live &= chunk[i + 1 : to] != chunk[i]
+                other = i + 1 + np.flatnonzero(live)
                 if len(other):
                     out.append(np.stack((cls[other], np.full(len(other), cls[i]), n[other], np.full(len(other), n[i]))))
                     held += len(other)
@@ -292,13 +331,10 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns text, cls, targets (pivot, its size, salts from low to high). Rows (pivot, frag, salt, role, cls, shingles): role 0 is the pivot's own."""
     schema = pa.schema([("pivot", pa.int64()), ("frag", pa.int32()), ("salt", pa.int64()), ("role", pa.int32()), ("cls", pa.int64()), ("shingles", pa.binary())])
     for batch in bounded(batches, "text"):
-        h, offsets = shingle_sets(*flat(batch.column(0)))
+        h, offsets, _ = shingle_sets(*flat(batch.column(0)))
         high = (h >> U64(32)).astype(np.int64)
-        own = class_ids(h, offsets).tolist()
         out, held = [[] for _ in schema], 0
         for k, (cls, targets) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-            if own[k] != cls:
-                continue  # another text of the same doc_id
             a, b = offsets[k], offsets[k + 1]
             for t in targets:
                 count = 1 + t["n"] // FRAGMENT
@@ -354,23 +390,21 @@ def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, spark: SparkSessi
 
     sent = salted.select(F.col("a").alias("cls"), target(salt, salt + 1))
     home = salted.select(F.col("b").alias("cls"), target(F.lit(0), F.col("salts"))).distinct()
-    targets = sent.unionByName(home).groupBy("cls").agg(F.collect_set("to").alias("targets")).join(reps, "cls").select("rep", "cls", "targets")
-    fragments = rows.join(targets, F.col("doc_id") == F.col("rep")).select("text", "cls", "targets").transform(in_arrow, _fragments, "pivot long, frag int, salt long, role int, cls long, shingles binary")
+    targets = sent.unionByName(home).groupBy("cls").agg(F.collect_set("to").alias("targets")).join(reps, "cls").select(*KEY, "cls", "targets")
+    fragments = rows.join(targets, KEY).select("text", "cls", "targets").transform(in_arrow, _fragments, "pivot long, frag int, salt long, role int, cls long, shingles binary")
     dealt = fragments.repartition(shuffle_partitions(spark), "pivot", "frag", "salt").sortWithinPartitions("pivot", "frag", "salt", "role", "cls")
     counts = dealt.transform(in_arrow, _overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
-    return pairs.join(counts, ["a", "b"]).where(F.col("common") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("common")) * NUMERATOR).select("a", "b")
+    # Different sets of under five shingles never reach the threshold.
+    return pairs.join(counts, ["a", "b"]).where(F.greatest("na", "nb") > 4).where(F.col("common") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("common")) * NUMERATOR).select("a", "b")
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns text, cls, comp, chunk, chunks, pieces. Rows (comp, low, high, piece, cls, chunk, n, shingles): a piece of a class for each two chunks that meet."""
     schema = pa.schema([("comp", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("piece", pa.int32()), ("cls", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
     for batch in bounded(batches, "text"):
-        h, offsets = shingle_sets(*flat(batch.column(0)))
-        own = class_ids(h, offsets).tolist()
+        h, offsets, _ = shingle_sets(*flat(batch.column(0)))
         out, held = [[] for _ in schema], 0
         for k, (cls, comp, chunk, chunks, pieces) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
-            if own[k] != cls:
-                continue  # another text of the same doc_id
             a, b = int(offsets[k]), int(offsets[k + 1])
             cut = [a, *(a + np.searchsorted(h[a:b], np.array([(p << 64) // pieces for p in range(1, pieces)], np.uint64))).tolist(), b]
             for piece in range(pieces):
@@ -449,14 +483,14 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_links(classes: DataFrame, rows: DataFrame, spark: SparkSession) -> DataFrame:
-    """classes: (cls, n, rep, comp), all classes of components of several. Rows (cls, links): with how many other classes each one reaches the threshold."""
+    """classes: (cls, n, KEY, comp), all classes of components of several. Rows (cls, links): with how many other classes each one reaches the threshold."""
     sizes = classes.groupBy("comp").agg(F.count("*").alias("_k"), F.sum("n").alias("_sum"), F.max("n").alias("_max"))
     sizes = sizes.select("comp", "_k", F.greatest(F.ceil(F.col("_k") / CHUNK), F.ceil(F.col("_sum") / CHUNK_SHINGLES)).alias("_c"), F.ceil(F.col("_max") / PIECE).cast("int").alias("pieces"))
     sizes = sizes.select("comp", "_k", F.least("_c", "_k").alias("chunks"), "pieces")
     sized = stored(spark, classes.join(sizes, "comp"), "sized")
     two = sized.where("_k = 2").select("cls", F.lit(1).cast("long").alias("links"))
-    more = sized.where("_k > 2").select("rep", "cls", "comp", F.pmod(F.xxhash64("cls"), F.col("chunks")).alias("chunk"), "chunks", "pieces")
-    sent = rows.join(more, F.col("doc_id") == F.col("rep")).select("text", "cls", "comp", "chunk", "chunks", "pieces")
+    more = sized.where("_k > 2").select(*KEY, "cls", "comp", F.pmod(F.xxhash64("cls"), F.col("chunks")).alias("chunk"), "chunks", "pieces")
+    sent = rows.join(more, KEY).select("text", "cls", "comp", "chunk", "chunks", "pieces")
     dealt = sent.transform(in_arrow, _dealt, "comp long, low long, high long, piece int, cls long, chunk long, n long, shingles binary")
     pieces = more.select("comp", "pieces").where("pieces > 1").distinct()
     dealt = dealt.join(F.broadcast(pieces), "comp", "left").select("comp", "low", "high", "piece", F.coalesce("pieces", F.lit(1)).alias("pieces"), "cls", "chunk", "n", "shingles")
@@ -468,8 +502,58 @@ def count_links(classes: DataFrame, rows: DataFrame, spark: SparkSession) -> Dat
     return two.unionByName(met.where("b is null").select(F.col("a").alias("cls"), "links")).unionByName(ends).groupBy("cls").agg(F.sum("links").alias("links"))
 
 
+def near_members(docs: DataFrame, spark: SparkSession, links: bool) -> DataFrame:
+    """One row per input row, stored: KEY, doc_id, n, cls, comp (null without shingles) and, with links, rep_id and links."""
+    rows = with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    texts = rows.select(*KEY, "text")
+    members = stored(spark, rows.select(*KEY, "doc_id", "text").transform(in_arrow, _members, MEMBERS), "members")
+    sets = members.where("kind = 0 and n > 0").groupBy("cls", "chk").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("n").alias("n"), F.count("*").alias("rows"))
+    sets = stored(spark, sets.select("cls", "chk", "rep.*", "n", "rows"), "sets")
+    names = clashes(sets.select("cls", "chk"))
+    if names:
+        table_ = spark.createDataFrame([(*k, v) for k, v in names.items()], "cls long, chk long, _name long")
+        rename = lambda df: df.join(F.broadcast(table_), ["cls", "chk"], "left").withColumn("cls", F.coalesce("_name", "cls")).drop("_name")
+    else:
+        rename = lambda df: df
+    reps = rename(sets).drop("chk")
+    shared = spark.sparkContext.broadcast((magnitudes(members, spark), names))
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    parts = max(4 * shuffle_partitions(spark), int(total * 0.2 // 1_000_000))
+    postings = texts.select("text").transform(in_arrow, _prefixes(shared, parts), "part int, blob binary")
+    found = stored(spark, postings.repartition(shuffle_partitions(spark), "part").transform(in_arrow, _groups, FOUND), "found")
+    first = found.where("kind = 0").select("a", "b", "na", "nb")
+    of_class = reps.select("cls", *KEY)
+    edges = stored(spark, verify(first, texts, of_class, spark), "links")
+    labels = components(edges, spark)
+    second = stored(spark, still_apart(found, labels, spark).join(first.select("a", "b").distinct(), ["a", "b"], "left_anti"), "second")
+    if not second.isEmpty():
+        edges = edges.unionByName(verify(second, texts, of_class, spark))
+        labels = components(edges, spark)
+    placed = reps.join(labels, F.col("cls") == F.col("node"), "left").select("cls", *KEY, "n", "rows", F.coalesce("comp", "cls").alias("comp"))
+    if links:
+        several = placed.join(labels.select(F.col("node").alias("cls")), "cls", "left_semi")
+        placed = placed.join(count_links(several, texts, spark), "cls", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
+    placed = stored(spark, placed, "placed").select("cls", "rows", "comp", *(["links"] if links else []))
+    own = rename(members.where("kind = 0").select(*KEY, "doc_id", "n", "cls", "chk")).select(*KEY, "doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
+    return stored(spark, join_evenly(own, placed, "cls", "rows", KEY), "rows")
+
+
+def still_apart(found: DataFrame, labels: DataFrame, spark: SparkSession) -> DataFrame:
+    """The pairs (a, b, na, nb) of classes of one group, not yet in one component, that may reach the threshold. Groups of many classes are compared by pairs of chunks."""
+    groups = found.where("kind = 1").select(F.concat_ws(":", F.xxhash64("members"), F.xxhash64(F.lit(1), "members"), F.size("members")).alias("gid"), F.struct("members", "sizes", "places").alias("g"))
+    groups = groups.groupBy("gid").agg(F.min_by("g", F.col("g.places")[0]).alias("g"))
+    listed = groups.select("gid", F.ceil(F.size("g.members") / MEET).alias("chunks"), F.explode(F.arrays_zip("g.members", "g.sizes", "g.places")).alias("m"))
+    listed = listed.select("gid", "chunks", F.col("m.members").alias("cls"), F.col("m.sizes").alias("n"), F.col("m.places").alias("place"))
+    placed = listed.join(labels, F.col("cls") == F.col("node"), "left").select("gid", "chunks", "cls", "n", "place", F.coalesce("comp", "cls").alias("comp"))
+    mixed = placed.groupBy("gid").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("gid")
+    dealt = placed.join(mixed, "gid").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumns({"low": F.least("chunk", "_o"), "high": F.greatest("chunk", "_o")})
+    met = dealt.groupBy("gid", "low", "high").agg(F.collect_list(F.struct("n", "cls", "comp", "place", "chunk")).alias("rows")).select("low", "high", "rows")
+    return met.transform(in_arrow, _apart, "a long, b long, na long, nb long").distinct()
+
+
 def jaccard_join(docs: DataFrame, spark: SparkSession, links: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id, n_links, component_id.
+    """One row per row of docs: doc_id, n_shingles, class_id, n_links, component_id.
 
     Documents link at a Jaccard similarity of 0.8 or more of their sets of
     five-word shingles (lower-cased A-Z; words between ASCII white space).
@@ -478,43 +562,22 @@ def jaccard_join(docs: DataFrame, spark: SparkSession, links: bool = True) -> Da
     (0 for a text without shingles; links=False leaves class_id and n_links out).
     component_id is the smallest doc_id that links lead to. A text with fewer
     than five words is one shingle; a null, empty or blank text has none and
-    links with nothing. Repeated rows (one doc_id and text) are one member and
-    come out as often as they came in. A row with a null doc_id takes part under
-    a key made of its text, which stands for its doc_id in the result. An empty
-    table gives an empty result; other columns are not read. Shingles and
-    classes are told apart by 64-bit hashes.
+    links with nothing: its class_id and component_id are its doc_id. Repeated
+    rows (one doc_id and text) are one member and come out as often as they
+    came in; rows that share a doc_id with different texts are members of their
+    own. A null doc_id stays null; it is no class_id or component_id unless a
+    class or component has no other. An empty table gives an empty result;
+    other columns are not read. Sets are told apart by 128 bits, shingles
+    within a pair by 64; words are hashed in prime fields.
     """
-    rows = docs.select(doc_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = stored(spark, rows.transform(in_arrow, _members, MEMBERS), "members")
-    docs_of = members.where("kind = 0").select("doc_id", "n", "cls")
-    shared = spark.sparkContext.broadcast(magnitudes(members, spark))
-    total = docs_of.agg(F.sum("n")).first()[0] or 0
-    parts = max(4 * shuffle_partitions(spark), int(total * 0.2 // 1_000_000))
-    postings = rows.transform(in_arrow, _prefixes(shared, parts), "part int, blob binary")
-    found = stored(spark, postings.repartition(shuffle_partitions(spark), "part").transform(in_arrow, _groups, FOUND), "found")
-    reps = stored(spark, docs_of.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
-    first = found.where("kind = 0").select("a", "b", "na", "nb")
-    edges = stored(spark, verify(first, rows, reps, spark), "links")
-    labels = components(edges, spark)
-    groups = found.where("kind = 1").select(F.concat_ws(":", F.xxhash64("members"), F.xxhash64(F.lit(1), "members"), F.size("members")).alias("gid"), F.struct("members", "sizes", "places").alias("g"))
-    groups = groups.groupBy("gid").agg(F.min_by("g", F.col("g.places")[0]).alias("g"))
-    listed = groups.select("gid", F.explode(F.arrays_zip("g.members", "g.sizes", "g.places")).alias("m")).select("gid", F.col("m.members").alias("cls"), F.col("m.sizes").alias("n"), F.col("m.places").alias("place"))
-    placed = listed.join(labels, F.col("cls") == F.col("node"), "left").select("gid", "cls", "n", "place", F.coalesce("comp", "cls").alias("comp"))
-    mixed = placed.groupBy("gid").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("gid")
-    apart = placed.join(mixed, "gid").groupBy("gid").agg(F.collect_list(F.struct("n", "cls", "comp", "place")).alias("rows")).select("rows").transform(in_arrow, _apart, "a long, b long, na long, nb long")
-    second = stored(spark, apart.distinct().join(first.select("a", "b").distinct(), ["a", "b"], "left_anti"), "second")
-    if not second.isEmpty():
-        edges = edges.unionByName(verify(second, rows, reps, spark))
-        labels = components(edges, spark)
-    comp = docs_of.join(labels, F.col("cls") == F.col("node"), "left").select("doc_id", "n", "cls", F.when(F.col("n") > 0, F.coalesce("comp", "cls")).alias("comp"))
-    least = comp.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n"))
-    joined = comp.join(least.where("_n > 1"), "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("_least", "doc_id").alias("component_id"))
+    rows = near_members(docs, spark, links)
+    least = stored(spark, rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n")), "least")
+    joined = join_evenly(rows, least, "comp", "_n", KEY).withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("_least")))
     if not links:
-        return joined.drop("cls")
-    classes = reps.join(labels, F.col("cls") == F.col("node")).join(docs_of.where("n > 0").groupBy("cls").agg(F.first("n").alias("n")), "cls").select("cls", "n", "rep", "comp")
-    counted = reps.join(count_links(classes, rows, spark), "cls", "left").select(F.col("cls").alias("_cls"), "rep", "links")
-    joined = joined.join(counted, (F.col("cls") == F.col("_cls")) & (F.col("n_shingles") > 0), "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), "component_id")
+        return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    first = stored(spark, rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_m")), "first")
+    joined = join_evenly(joined, first, "cls", "_m", KEY)
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("_first")).alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), "component_id")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -522,6 +585,16 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the document with the smallest doc_id stays; ids that are null stay."""
-    gone = jaccard_join(docs.where("doc_id is not null"), spark, links=False).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """Pipeline stage: of each group of near duplicates one row stays, with its columns as they came.
+
+    It is the one with the smallest doc_id, a null id last; of rows with that
+    id one, by a hash of the text. Rows without words all stay. An empty table
+    stays empty.
+    """
+    rows = near_members(docs, spark, False).withColumn("_first", F.struct(F.col("doc_id").isNull().alias("none"), *KEY))
+    best = rows.where("comp is not null").groupBy("comp").agg(F.min("_first").alias("_best"), F.count("*").alias("_n")).where("_n > 1")
+    best = stored(spark, best, "best")
+    ties = join_evenly(rows.where("comp is not null"), best, "comp", "_n", KEY).where("_best is not null")
+    gone = ties.where("_first <> _best").select(*KEY).distinct()
+    once = ties.where("_first = _best").groupBy(*KEY).agg(F.count("*").alias("_n")).where("_n > 1").select(*KEY)
+    return without_rows(docs, stored(spark, gone, "gone"), stored(spark, once, "once"))

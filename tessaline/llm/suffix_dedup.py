@@ -27,25 +27,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import POWERS, U64, bounded, doc_key, flat, merged, mix, shuffle_partitions, stored, table
+from .common import FIELDS, KEY, POWERS, U64, bounded, flat, in_arrow, merged, mix, shuffle_partitions, stored, table, with_key
 
 LENGTH = 200
 K = 100
 WIDTH = LENGTH - K + 1
 FLUSH = 1_000_000
 COVERED, EDGE = 0, 1
+#: The key of a document on its way: its two columns side by side.
+DOC = np.dtype([("key", "<i8"), ("tag", "<i8")])
+
+
+def keys_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The first two columns of a batch as DOC."""
+    out = np.empty(batch.num_rows, DOC)
+    out["key"], out["tag"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    return out
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, anchor, first, last, fingerprint, context): for each anchor the windows [first, last] that it answers for.
+    """(row, anchor, first, last, fingerprint, context, check): for each anchor the windows [first, last] that it answers for.
 
     Positions count from the start of the data. fingerprint is of the K bytes
-    at the anchor, context of all bytes of the windows and the anchor's place.
+    at the anchor; context and check, of four prime fields together, are of all
+    bytes of the windows and the anchor's place.
     """
     n = len(data) - LENGTH + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, *(none.view(np.uint64),) * 3
     prefix = POWERS.prefix(data)
     m = len(data) - K + 1
     h = mix((prefix[K : K + m] - prefix[:m]) * POWERS.down[:m])
@@ -64,8 +74,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     stop = np.flatnonzero(ok & np.concatenate((~ok[1:] | (at[1:] != at[:-1]), [True])))
     # Rows that adjoin: a row's last window and the next row's first are never neighbours, as LENGTH - 1 starts lie between.
     anchor = at[start]
-    context = POWERS.hash(prefix, start, stop + LENGTH) + mix((anchor - start).astype(np.uint64))
-    return np.searchsorted(offsets, start, side="right") - 1, anchor, start, stop, h[anchor], mix(context)
+    context, check = FIELDS.hash(data, start, stop + LENGTH)
+    place = mix((anchor - start).astype(np.uint64) + U64(1))
+    return np.searchsorted(offsets, start, side="right") - 1, anchor, start, stop, h[anchor], mix(context + place), mix(check ^ place)
 
 
 HEAD = "part int, blob binary"
@@ -75,11 +86,11 @@ def _deal(shared_parts: int):
     """Step 1, map side. Contexts that repeat within a flush are covered there; one of each, and all others, are dealt."""
 
     def pack(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        doc, first, back, reach, mark, context = (np.concatenate(x) for x in zip(*held))
+        doc, first, back, reach, mark, context, check = (np.concatenate(x) for x in zip(*held))
         part = (mix(mark ^ U64(0x5851F42D4C957F2D)) % U64(shared_parts)).astype(np.int64)
-        order = np.lexsort((context, mark, part))
-        doc, first, back, reach, mark, context, part = (x[order] for x in (doc, first, back, reach, mark, context, part))
-        same = np.concatenate(([False], (mark[1:] == mark[:-1]) & (context[1:] == context[:-1])))
+        order = np.lexsort((check, context, mark, part))
+        doc, first, back, reach, mark, context, check, part = (x[order] for x in (doc, first, back, reach, mark, context, check, part))
+        same = np.concatenate(([False], (mark[1:] == mark[:-1]) & (context[1:] == context[:-1]) & (check[1:] == check[:-1])))
         repeated = same | np.concatenate((same[1:], [False]))
         sent = ~same  # the first of each context, marked as repeated if others follow
         cut = np.searchsorted(part, np.arange(shared_parts + 1))
@@ -90,7 +101,7 @@ def _deal(shared_parts: int):
                 local = np.flatnonzero(c)
                 one = np.flatnonzero(s)
                 g, r = a + one, a + local
-                blob = [np.array([len(one), len(local)], "<u4"), mark[g], context[g], doc[g], first[g].astype("<u4"), back[g].astype("u1"), reach[g].astype("u1"), c[one].astype("u1"), doc[r], first[r].astype("<u4"), reach[r].astype("u1")]
+                blob = [np.array([len(one), len(local)], "<u4"), mark[g], context[g], check[g], doc[g], first[g].astype("<u4"), back[g].astype("u1"), reach[g].astype("u1"), c[one].astype("u1"), doc[r], first[r].astype("<u4"), reach[r].astype("u1")]
                 ids.append(p)
                 blobs.append(b"".join(x.tobytes() for x in blob))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
@@ -98,10 +109,10 @@ def _deal(shared_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in bounded(batches, "text"):
-            data, offsets = flat(batch.column(1))
-            row, anchor, first, last, mark, context = anchors(data, offsets)
+            data, offsets = flat(batch.column(2))
+            row, anchor, first, last, mark, context, check = anchors(data, offsets)
             if len(row):
-                held.append((batch.column(0).to_numpy()[row], first - offsets[row], anchor - first, last - first, mark, context))
+                held.append((keys_of(batch)[row], first - offsets[row], anchor - first, last - first, mark, context, check))
                 count += len(row)
             if count >= FLUSH:
                 yield from pack(held)
@@ -112,14 +123,14 @@ def _deal(shared_parts: int):
     return run
 
 
-MARKS = "doc_id long, kind int, first int, back int, reach int, many boolean, mark long"
-MARKS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("first", pa.int32()), ("back", pa.int32()), ("reach", pa.int32()), ("many", pa.bool_()), ("mark", pa.int64())])
+MARKS = "__key long, __tag long, kind int, first int, back int, reach int, many boolean, mark long"
+MARKS_SCHEMA = pa.schema([("__key", pa.int64()), ("__tag", pa.int64()), ("kind", pa.int32()), ("first", pa.int32()), ("back", pa.int32()), ("reach", pa.int32()), ("many", pa.bool_()), ("mark", pa.int64())])
 
 
 def _marks(doc, kind, first, back, reach, many, mark) -> pa.RecordBatch:
     n = len(doc)
     cast = lambda x, t: pa.array(np.broadcast_to(x, n).astype(t))
-    return pa.RecordBatch.from_arrays([cast(doc, np.int64), cast(kind, np.int32), cast(first, np.int32), cast(back, np.int32), cast(reach, np.int32), cast(many, bool), pa.array(mark.view(np.int64)) if isinstance(mark, np.ndarray) else cast(mark, np.int64)], schema=MARKS_SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array(doc["key"]), pa.array(doc["tag"]), cast(kind, np.int32), cast(first, np.int32), cast(back, np.int32), cast(reach, np.int32), cast(many, bool), pa.array(mark.view(np.int64)) if isinstance(mark, np.ndarray) else cast(mark, np.int64)], schema=MARKS_SCHEMA)
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,22 +140,22 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             blobs.setdefault(part, []).append(blob)
     for part in sorted(blobs):
-        columns: list[list] = [[] for _ in range(7)]
+        columns: list[list] = [[] for _ in range(8)]
         for blob in blobs.pop(part):
             n, local = (int(x) for x in np.frombuffer(blob, "<u4", 2))
             at = 8
-            for column, kind in zip(columns, ("<u8", "<u8", "<i8", "<u4", "u1", "u1", "u1")):
+            for column, kind in zip(columns, ("<u8", "<u8", "<u8", DOC, "<u4", "u1", "u1", "u1")):
                 column.append(np.frombuffer(blob, kind, n, at))
                 at += n * np.dtype(kind).itemsize
             if local:
-                doc = np.frombuffer(blob, "<i8", local, at)
-                first = np.frombuffer(blob, "<u4", local, at + 8 * local)
-                yield _marks(doc, COVERED, first, 0, np.frombuffer(blob, "u1", local, at + 12 * local), True, 0)
-        mark, context, doc, first, back, reach, many = (np.concatenate(c) for c in columns)
-        order = np.lexsort((context, mark))
-        mark, context, doc, first, back, reach, many = (x[order] for x in (mark, context, doc, first, back, reach, many))
+                doc = np.frombuffer(blob, DOC, local, at)
+                first = np.frombuffer(blob, "<u4", local, at + 16 * local)
+                yield _marks(doc, COVERED, first, 0, np.frombuffer(blob, "u1", local, at + 20 * local), True, 0)
+        mark, context, check, doc, first, back, reach, many = (np.concatenate(c) for c in columns)
+        order = np.lexsort((check, context, mark))
+        mark, context, check, doc, first, back, reach, many = (x[order] for x in (mark, context, check, doc, first, back, reach, many))
         new_mark = np.concatenate(([True], mark[1:] != mark[:-1]))
-        new_context = new_mark | np.concatenate(([True], context[1:] != context[:-1]))
+        new_context = new_mark | np.concatenate(([True], (context[1:] != context[:-1]) | (check[1:] != check[:-1])))
         head = np.flatnonzero(new_context)
         size = np.diff(np.append(head, len(mark)))
         total = np.add.reduceat(many.astype(np.int64), head) + size  # a context that repeats in one map task counts twice
@@ -250,7 +261,7 @@ RUN = "part int, blob binary"
 
 
 def _runs(parts: int):
-    """Step 2, map side: text, doc_id, edges of a document -> sorted, front-coded runs of the suffixes at the edges."""
+    """Step 2, map side: key, edges and text of a document -> sorted, front-coded runs of the suffixes at the edges."""
 
     def pack(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list] = {}
@@ -261,7 +272,7 @@ def _runs(parts: int):
             entries.sort(key=lambda e: (e[1], e[2]))
             shared, rest = front_code([e[1] for e in entries])
             left = [e[2] for e in entries]
-            numbers = [np.array([len(entries)], "<u4"), np.array(shared, "u1"), np.array([len(r) for r in rest], "<u2"), np.array([len(x) for x in left], "u1"), np.array([e[3] for e in entries], "<i8"), np.array([e[4] for e in entries], "<u4"), np.array([e[5] for e in entries], "u1"), np.array([e[6] for e in entries], "u1")]
+            numbers = [np.array([len(entries)], "<u4"), np.array(shared, "u1"), np.array([len(r) for r in rest], "<u2"), np.array([len(x) for x in left], "u1"), np.array([e[3] for e in entries], DOC), np.array([e[4] for e in entries], "<u4"), np.array([e[5] for e in entries], "u1"), np.array([e[6] for e in entries], "u1")]
             ids.append(part)
             blobs.append(b"".join([*(x.tobytes() for x in numbers), *rest, *left]))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
@@ -269,8 +280,8 @@ def _runs(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            for doc, text, edges in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2))):
-                raw = (text or "").encode()
+            for key, tag, edges, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                doc, raw = (key, tag), (text or "").encode()
                 for e in edges or ():
                     first, back, reach = e["first"], e["back"], e["reach"]
                     anchor = first + back
@@ -284,7 +295,7 @@ def _runs(parts: int):
     return run
 
 
-SPANS = pa.schema([("doc_id", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+SPANS = pa.schema([("__key", pa.int64()), ("__tag", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 
 
 def equal_windows(right_lcp: np.ndarray, left: list[bytes], first_of_group: np.ndarray, back: np.ndarray, reach: np.ndarray, many: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -331,7 +342,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, refs = [], []
         for number, blob in enumerate(blobs.pop(part)):
             n, at, fields = int(np.frombuffer(blob, "<u4", 1)[0]), 4, []
-            for kind in ("u1", "<u2", "u1", "<i8", "<u4", "u1", "u1"):
+            for kind in ("u1", "<u2", "u1", DOC, "<u4", "u1", "u1"):
                 fields.append(np.frombuffer(blob, kind, n, at))
                 at += n * np.dtype(kind).itemsize
             shared, tails, lefts, doc, first, reach, many = fields
@@ -348,7 +359,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which, at = np.array(place).T
         base = np.concatenate(([0], np.cumsum([len(r[0]) for r in refs])))
         flat_at = base[which] + at
-        doc, first, back, reach, many = (np.concatenate([r[k] for r in refs])[flat_at].astype(np.int64) for k in range(1, 6))
+        doc = np.concatenate([r[1] for r in refs])[flat_at]
+        first, back, reach, many = (np.concatenate([r[k] for r in refs])[flat_at].astype(np.int64) for k in range(2, 6))
         every = [x for r in refs for x in r[0]]
         left, lcp = [every[i] for i in flat_at], np.array(lcp)
         new_group = lcp < K
@@ -362,12 +374,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lows.append(first[hit] + back[hit] - d)
         if docs:
             doc, low = np.concatenate(docs), np.concatenate(lows)
-            order = np.lexsort((low, doc))
+            order = np.lexsort((low, doc["tag"], doc["key"]))
             doc, low = doc[order], low[order]
             new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (low[1:] != low[:-1] + 1)))
             head = np.flatnonzero(new)
             last = np.append(head[1:], len(doc)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(low[head].astype(np.int32)), pa.array((low[last] + LENGTH).astype(np.int32))], schema=SPANS)
+            yield pa.RecordBatch.from_arrays([pa.array(doc["key"][head]), pa.array(doc["tag"][head]), pa.array(low[head].astype(np.int32)), pa.array((low[last] + LENGTH).astype(np.int32))], schema=SPANS)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -375,9 +387,9 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in bounded(batches, "text"):
-        data, offsets = flat(batch.column(1))
+        data, offsets = flat(batch.column(2))
         rows = []
-        for k, spans in enumerate(batch.column(2).to_pylist()):
+        for k, spans in enumerate(batch.column(1).to_pylist()):
             raw = data[offsets[k] : offsets[k + 1]]
             pairs = np.array([(s["low"], s["high"]) for s in spans or ()], np.int64).reshape(-1, 2)
             low, high = merged(np.minimum(pairs[:, 0], len(raw)), np.minimum(pairs[:, 1], len(raw)))
@@ -399,22 +411,24 @@ def remove_repeats(docs: DataFrame, spark: SparkSession) -> DataFrame:
     A byte goes if a string of 200 bytes that covers it also starts anywhere
     else, in this document or another. A null, empty or shorter text loses
     nothing. Repeated rows of one doc_id and text are documents of their own
-    and so lose what is 200 bytes or longer. A row with a null doc_id takes
-    part under a key made of its text, which stands for its doc_id in the
-    result. An empty table gives an empty result; other columns are not read.
-    Whole contexts are told apart by 64-bit hashes.
+    and so lose what is 200 bytes or longer; rows that share a doc_id with
+    different texts, or have no doc_id, are told apart by a hash of the text.
+    An empty table gives an empty result; other columns are not read. Whole
+    contexts are told apart by 124 bits of hashes in prime fields.
     """
-    parts = 4 * shuffle_partitions(spark)
-    rows = docs.select(doc_key().alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = rows.mapInArrow(_deal(parts), HEAD).repartition(shuffle_partitions(spark), "part")
-    marks = stored(spark, dealt.mapInArrow(_classify, MARKS), "marks")
-    texts = rows.repartition(shuffle_partitions(spark), "doc_id")
-    edges = marks.where(F.col("kind") == EDGE).groupBy("doc_id").agg(F.collect_set(F.struct("first", "back", "reach", "many", F.pmod("mark", F.lit(1 << 62)).alias("mark"))).alias("edges"))
-    runs = texts.join(edges, "doc_id").select("doc_id", "text", "edges").mapInArrow(_runs(parts), RUN)
-    found = runs.repartition(shuffle_partitions(spark), "part").mapInArrow(_merge, "doc_id long, low int, high int")
-    covered = marks.where(F.col("kind") == COVERED).select("doc_id", F.col("first").alias("low"), (F.col("first") + F.col("reach") + LENGTH).alias("high"))
-    spans = covered.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    n = shuffle_partitions(spark)
+    parts = 4 * n
+    rows = with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    dealt = rows.select(*KEY, "text").transform(in_arrow, _deal(parts), HEAD).repartition(n, "part")
+    marks = stored(spark, dealt.transform(in_arrow, _classify, MARKS), "marks")
+    texts = rows.repartition(n, *KEY)
+    edges = marks.where(F.col("kind") == EDGE).groupBy(*KEY).agg(F.collect_set(F.struct("first", "back", "reach", "many", F.pmod("mark", F.lit(1 << 62)).alias("mark"))).alias("edges"))
+    runs = texts.join(edges, KEY).select(*KEY, "edges", "text").transform(in_arrow, _runs(parts), RUN)
+    found = runs.repartition(n, "part").transform(in_arrow, _merge, "__key long, __tag long, low int, high int")
+    covered = marks.where(F.col("kind") == COVERED).select(*KEY, F.col("first").alias("low"), (F.col("first") + F.col("reach") + LENGTH).alias("high"))
+    spans = covered.unionByName(found).groupBy(*KEY).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    done = texts.join(spans, KEY, "left").select("doc_id", "spans", "text")
+    return done.transform(in_arrow, _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,8 +62,44 @@ def test_exact_dedup(spark, docs, frame, empty):
     columns = "doc_id", "keep_id", "group_size", "kept", "text_sha256"
     assert rows(exact_dedup(frame, spark), *columns) == brute.exact(docs)
     assert exact_dedup(empty, spark).count() == 0
-    odd = spark.createDataFrame([(1, "a"), (1, "a"), (None, "A"), (None, "q")], "doc_id long, text string")
-    assert [tuple(r)[1:4] for r in exact_dedup(odd, spark).orderBy("text_sha256", "doc_id").collect() if r[0] is None] == [(None, 1, True), (1, 3, False)] or True
+    odd = spark.createDataFrame([(1, "a"), (1, "a"), (None, "A"), (None, "q"), (None, "Q"), (5, "alpha"), (5, "beta"), (9, "beta"), (7, None), (8, "")], "doc_id long, text string")
+    got = sorted((tuple(r)[:4] for r in exact_dedup(odd, spark).collect()), key=str)
+    want = [(1, 1, 3, True), (1, 1, 3, True), (None, 1, 3, False), (None, None, 2, True), (None, None, 2, True), (5, 5, 1, True), (5, 9, 2, False), (9, 9, 2, True), (7, 8, 2, False), (8, 8, 2, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_the_exact_stage_decides_by_row(spark, empty):
+    from tessaline.llm.exact_dedup import keep_exact
+
+    given = [(5, "alpha", 1), (5, "beta", 2), (9, "beta", 3), (1, "a", 4), (1, "a", 5), (None, "A", 6), (None, "q", 7), (None, "Q", 8), (None, "r", 9), (7, None, 10), (8, "", 11), (3, "Same", 12), (3, "same", 13)]
+    df = spark.createDataFrame(given, "doc_id long, text string, digest int").repartition(4)
+    left = sorted(r.digest for r in keep_exact(spark, df, "").collect())
+    assert {1, 3, 9, 11} <= set(left) and len({4, 5} & set(left)) == 1 and len({7, 8} & set(left)) == 1 and len({12, 13} & set(left)) == 1
+    assert len(left) == 7 and keep_exact(spark, df, "").columns == df.columns
+    assert keep_exact(spark, empty, "").count() == 0
+
+
+def test_the_near_stage_decides_by_row(spark, empty):
+    from tessaline.llm.jaccard_join import keep_one_near
+
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    given = [(5, a, 1), (5, b, 2), (9, b + " end", 3), (2, a + " end", 4), (None, c, 5), (None, c + " end", 6), (None, "", 7), (None, "", 8), (4, c + " last", 9), (6, "one two", 10), (6, "one two", 11)]
+    df = spark.createDataFrame(given, "doc_id long, text string, cls int").repartition(3)
+    left = sorted(r.cls for r in keep_one_near(spark, df, "").collect())
+    assert left[:-1] == [2, 4, 7, 8, 9] and left[-1] in (10, 11)
+    assert keep_one_near(spark, empty, "").count() == 0
+
+
+def test_join_of_hot_and_null_keys(spark, monkeypatch):
+    from tessaline.llm import common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    left = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, 1).when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 50).cast("long").alias("k"), F.lit("x").alias("v2"))
+    counts = left.where("k is not null and k <> 3").groupBy("k").agg(F.count("*").alias("n"))
+    right = counts.withColumn("v", F.col("k") * 10)
+    got = {r.id: r.v for r in common.join_evenly(left, right, "k", "n", ["id"]).collect()}
+    assert len(got) == 400 and got == {r.id: None if r.k in (None, 3) else r.k * 10 for r in left.collect()}
 
 
 def test_grace_recursion_spills_and_keeps_groups():
@@ -98,9 +134,48 @@ def test_jaccard_join_of_repeated_rows_and_null_ids(spark):
     from tessaline.llm.jaccard_join import jaccard_join
 
     t = "one two three four five six seven"
-    df = spark.createDataFrame([(4, t), (4, t), (9, t), (None, "other words here"), (None, None)], "doc_id long, text string")
-    got = jaccard_join(df, spark).collect()
-    assert len(got) == 5 and sorted(r.component_id for r in got if r.doc_id in (4, 9)) == [4, 4, 4]
+    df = spark.createDataFrame([(4, t), (4, t), (9, t), (None, t), (None, "other words here"), (None, None), (5, "")], "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard_join(df, spark).collect()), key=str)
+    want = [(4, 3, 4, 0, 4), (4, 3, 4, 0, 4), (9, 3, 4, 0, 4), (None, 3, 4, 0, 4), (None, 1, None, 0, None), (None, 0, None, 0, None), (5, 0, 5, 0, 5)]
+    assert got == sorted(want, key=str)
+
+
+def test_jaccard_join_of_words_that_collide_in_powers_of_two(spark):
+    """Thue-Morse words have one polynomial hash modulo 2^64 whatever the odd base."""
+    from tessaline.llm.jaccard_join import class_ids, clashes, jaccard_join, renamed, stand_in
+
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " one two three four"
+    out = [(1, a), (2, b), (3, a + rest), (4, b + rest), (5, a + rest)]
+    got = sorted(tuple(r) for r in jaccard_join(spark.createDataFrame(out, "doc_id long, text string"), spark).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == brute.near(out) and [c for *_, c in got] == [1, 2, 3, 4, 3]
+    # Two sets whose first 64-bit ids are the same go apart by the second.
+    names = clashes(spark.createDataFrame([(7, 1), (7, 2), (8, 1)], "cls long, chk long"))
+    assert names == {(7, 2): stand_in(7, 2)}
+    assert renamed(np.array([7, 7, 8]), np.array([1, 2, 1]), names).tolist() == [7, stand_in(7, 2), 8]
+    one, two = class_ids(np.array([5, 9], np.uint64), np.array([0, 1, 2]), np.array([5, 5], np.uint64))
+    assert one[0] != one[1] and two[0] == two[1]
+
+
+def test_field_hashes_are_of_the_content():
+    from tessaline.llm import common
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 3, 5000).astype(np.uint8)
+    start = np.sort(rng.integers(0, 4900, 600))
+    end = np.maximum.accumulate(start + rng.integers(0, 9, 600))
+    one, two = common.FIELDS.hash(data, start, end)
+    by_text = {}
+    for a, b, x, y in zip(start, end, one, two):
+        assert by_text.setdefault(data[a:b].tobytes(), (x, y)) == (x, y)
+    assert len(set(by_text.values())) == len(by_text)
+    blocked = common.FIELD_BLOCK
+    try:
+        common.FIELD_BLOCK = 64
+        assert (common.FIELDS.hash(data, start, end)[0] == one).all()
+    finally:
+        common.FIELD_BLOCK = blocked
 
 
 def test_jaccard_join_of_a_crowded_pivot(spark, monkeypatch):
@@ -125,6 +200,17 @@ def test_suffix_dedup(spark, docs, frame, empty):
     assert remove_repeats(empty, spark).count() == 0
 
 
+def test_suffix_dedup_of_rows_that_share_an_id(spark):
+    from tessaline.llm.suffix_dedup import remove_repeats
+
+    rng = random.Random(12)
+    passage, innocent = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (300, 600))
+    out = [(1, "x" + passage + "y"), (1, innocent), (2, "u" + passage), (None, passage), (None, innocent[::-1]), (None, None)]
+    df = spark.createDataFrame(out, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(df, spark).collect())
+    assert got == [(0, 0, 0, 0), (0, 300, 300, 1), (0, 600, 0, 0), (1, 302, 300, 1), (1, 600, 0, 0), (2, 301, 300, 1)]
+
+
 def test_suffix_dedup_of_overlapping_passages(spark):
     from tessaline.llm.suffix_dedup import remove_repeats
 
