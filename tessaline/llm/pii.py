@@ -3,7 +3,7 @@
 A pattern proposes spans, a validator (octet range, Luhn, digit count, mod 97)
 confirms them, words shortly before a span raise its score. Positions come from
 splitting the text by the pattern: the lengths of the pieces and of the matches
-add up. Every pattern is written without backtracking into long runs, so time
+add up, by blocks, so that time stays in proportion to the spans too. Every pattern is written without backtracking into long runs, so time
 stays linear in the text: a run is entered at its first character or right
 after the match before (\\G), and repeated parts are possessive.
 """
@@ -58,7 +58,37 @@ def _valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-SPAN = "array<struct<start:long,kind_no:int,end:long,kind:string,text:string>>"
+SPAN = "array<struct<start:long,kind_no:int,end:long,kind:string,text:string,score:double>>"
+#: Elements that are folded one after the other; longer arrays are folded by blocks, and the blocks' results likewise.
+BLOCK = 64
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(values: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
+
+
+def running(values: Column, combine, first: Column, levels: int = 2) -> Column:
+    """For each element of a non-empty array of longs what combine (sum, greatest) makes of `first` and all elements before it.
+
+    Appending to an array copies it, so a fold keeps to BLOCK elements; where
+    each block starts comes from the blocks' own results, level by level. The
+    work is in proportion to the array up to BLOCK ** (levels + 1) elements.
+    """
+
+    def fold(part: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast("array<long>").alias("out"))
+        return F.aggregate(part, state, lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    if not levels:
+        return fold(values, first)
+    whole = lambda v: F.transform(_blocks(v), lambda b: F.aggregate(F.slice(v, b * BLOCK + 2, BLOCK - 1), F.get(v, b * BLOCK), combine))
+    each = lambda v, starts: F.flatten(F.transform(starts, lambda at, b: fold(F.slice(v, b * BLOCK + 1, BLOCK), at)))
+    return let(values, lambda v: let(running(whole(v), combine, first, levels - 1), lambda starts: each(v, starts)))
 
 
 def _with_spans(rows: DataFrame, kind: str) -> DataFrame:
@@ -67,48 +97,38 @@ def _with_spans(rows: DataFrame, kind: str) -> DataFrame:
     has = F.col("_t").contains(guard) if kind in ("email", "phone") else F.col("_t").rlike(guard)
     rows = rows.withColumn("_has", has)
     rows = rows.withColumn("_m", F.when(F.col("_has"), F.regexp_extract_all("_t", F.lit(pattern), F.lit(0)))).withColumn("_p", F.when(F.size("_m") > 0, F.split("_t", pattern, -1)))
-    steps = F.transform(F.col("_m"), lambda m, i: F.struct(m.alias("m"), F.length(F.get(F.col("_p"), i)).cast("long").alias("gap")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-    walked = F.aggregate(
-        steps,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.when(
-                _valid(kind, x["m"]),
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(order).alias("kind_no"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), x["m"].alias("text"))).cast(SPAN),
-                ),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return rows.withColumn(kind, F.when(F.size("_m") > 0, walked).otherwise(F.array().cast(SPAN))).drop("_has", "_m", "_p")
-
-
-def _score(text: Column, span: Column) -> Column:
-    """The kind's own score, and 0.2 more if a context word stands in the 40 characters before the span."""
-    before = F.lower(F.substring(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(span["start"], F.lit(CONTEXT)).cast("int")))
-    out = F.lit(0.0)
-    for kind, (_, _, _, least, context) in KINDS.items():
-        out = F.when(span["kind"] == kind, F.least(F.lit(1.0), F.lit(least) + F.when(before.rlike(f"(?:^|[^a-z])(?:{context})"), 0.2).otherwise(0.0))).otherwise(out)
-    return F.round(out, 2)
+    size = lambda c: F.length(c).cast("long")
+
+    def found(steps: Column) -> Column:
+        """steps: (m, gap) of each match, the match and the text between it and the one before."""
+        starts = running(F.transform(steps, lambda x: size(x["gap"]) + size(x["m"])), lambda a, x: a + x, F.lit(0).cast("long"))
+        placed = F.zip_with(steps, starts, lambda x, at: F.struct(x["m"].alias("m"), x["gap"].alias("gap"), (at + size(x["gap"])).alias("start")))
+        valid = F.filter(placed, lambda x: _valid(kind, x["m"]))
+        span = lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("kind_no"), (x["start"] + size(x["m"])).alias("end"), F.lit(kind).alias("kind"), x["m"].alias("text"), _score(kind, x["gap"]).alias("score"))
+        return F.transform(valid, span).cast(SPAN)
+
+    steps = F.slice(F.zip_with("_m", "_p", lambda m, p: F.struct(m.alias("m"), p.alias("gap"))), F.lit(1), F.size("_m"))
+    return rows.withColumn(kind, F.when(F.size("_m") > 0, let(steps, found)).otherwise(F.array().cast(SPAN))).drop("_has", "_m", "_p")
+
+
+def _score(kind: str, gap: Column) -> Column:
+    """The kind's own score, and 0.2 more if a context word stands in the 40 characters before the span, as far as the match before."""
+    _, _, _, least, context = KINDS[kind]
+    near = F.lower(F.right(gap, F.lit(CONTEXT))).rlike(f"(?:^|[^a-z])(?:{context})")
+    return F.round(F.least(F.lit(1.0), F.lit(least) + F.when(near, 0.2).otherwise(0.0)), 2)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, text and found: an array of spans (start, kind_no, end, kind, text, score) by start, then kind.
 
     Kinds: email, ip, card, phone and, added to these, iban. A null or empty
-    text has no span. Repeated rows are searched each for itself; an empty
+    text has no span; the doc_id may be null. Repeated rows are searched each for itself; an empty
     table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     for kind in KINDS:
         rows = _with_spans(rows, kind)
-    every = F.array_sort(F.concat(*KINDS))
-    scored = F.transform(every, lambda s: s.withField("score", _score(F.col("_t"), s)))
-    return rows.select("doc_id", F.col("_t").alias("text"), scored.alias("found"))
+    return rows.select("doc_id", F.col("_t").alias("text"), F.array_sort(F.concat(*KINDS)).alias("found"))
 
 
 def _listed(spans: Column) -> Column:
@@ -128,16 +148,24 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id and text with every span of at least that score replaced by its kind in brackets.
 
-    Overlapping spans are replaced as one, named by the first.
+    Overlapping spans are replaced as one, named by the first. A null text
+    comes back empty. The text is cut into chunks first, so that a span deep in
+    a long text is reached in time that does not grow with its place.
     """
-    found = find_pii(docs)
-    walked = F.aggregate(
-        F.filter("found", lambda s: s["score"] >= least),
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"))),
-    )
-    return found.select("doc_id", walked.alias("text"))
+    found = find_pii(docs).withColumn("_s", F.filter("found", lambda s: s["score"] >= least))
+    chunk = 4096
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / chunk).cast("int")), lambda k: F.substr(F.col("text"), k * chunk + 1, F.lit(chunk)))
+
+    def between(held: Column, a: Column, b: Column) -> Column:
+        """The characters [a, b) of the text."""
+        first, last = F.floor(a / chunk).cast("int"), F.floor(b / chunk).cast("int")
+        part = lambda k: F.substr(F.get(held, k), (F.greatest(a - k * chunk, F.lit(0)) + 1).cast("int"), F.greatest(F.least(b - k * chunk, F.lit(chunk)) - F.greatest(a - k * chunk, F.lit(0)), F.lit(0)).cast("int"))
+        return F.array_join(F.transform(F.sequence(first, last), part), "")
+
+    def walked(held: Column) -> Column:
+        ends = running(F.transform("_s", lambda s: s["end"]), lambda a, x: F.greatest(a, x), F.lit(0).cast("long"))
+        pieces = F.zip_with("_s", ends, lambda s, at: F.when(s["start"] >= at, F.concat(between(held, at, s["start"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit("")))
+        last = F.array_max(F.transform("_s", lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), between(held, last, F.length("text").cast("long")))
+
+    return found.select("doc_id", F.when(F.size("_s") > 0, let(chunks, walked)).otherwise(F.col("text")).alias("text"))
