@@ -12,8 +12,10 @@ the pieces of their length.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -27,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, in_arrow, stored, table
-from .token_counts import PLAIN, Memory, plain_pattern
+from .common import bounded, in_arrow, shuffle_partitions, stored, table
+from .token_counts import PLAIN
 
 CAPACITY = 2048
 ISLANDS = 6
@@ -43,6 +45,41 @@ PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # ---------------------------------------------------------------- tokens
 
 
+REMEMBERED = 500_000
+#: The characters that PLAIN admits.
+RANGE = [*range(0x20, 0x7F), *range(0xA0, 0x250), *range(0x2010, 0x2028)]
+
+
+def plain_pattern(pattern: str) -> re.Pattern:
+    """A pattern with \\p{L} and \\p{N} for texts that PLAIN matches: the classes are written out."""
+
+    def members(kind: str) -> str:
+        inside = [i for i in RANGE if unicodedata.category(chr(i))[0] == kind]
+        runs = [list(g) for _, g in itertools.groupby(enumerate(inside), lambda p: p[1] - p[0])]
+        return "".join(f"\\u{i[1]:04x}-\\u{r[-1][1]:04x}" for r in runs for i in r[:1])
+
+    for kind in "LN":
+        pattern = pattern.replace(f"[\\p{{{kind}}}]", f"\\p{{{kind}}}")
+    inside = re.sub(r"(\[[^\]]*\])", lambda m: m[1].replace("\\p{L}", members("L")).replace("\\p{N}", members("N")), pattern)
+    return re.compile(inside.replace("\\p{L}", f"[{members('L')}]").replace("\\p{N}", f"[{members('N')}]"))
+
+
+class Memory(dict):
+    """Remembers what make gives for a key; emptied by trim() once it is large."""
+
+    def __init__(self, make, size: int = REMEMBERED):
+        super().__init__()
+        self.make, self.size = make, size
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.size:
+            self.clear()
+
+
 def _byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -214,13 +251,17 @@ def mutate(packing: Packing, counts: dict[int, int], capacity: int, rng) -> Pack
 
 
 def evolve(counts: dict[int, int], population: list[Packing], capacity: int, generations: int, seed: int) -> list[Packing]:
-    """The population after some generations, best first; the best one never gets worse."""
+    """The population after some generations, best first; the best one never gets worse.
+
+    The first population is one best-fit packing and mutants of it; after the
+    first generation a packing that reaches the lower bound ends the search.
+    """
     rng, least = np.random.default_rng(seed), -(-sum(x * n for x, n in counts.items()) // capacity)
     while len(population) < POPULATION:
         population.append(mutate(population[0], counts, capacity, rng) if population else best_fit(counts, capacity))
     population.sort(key=lambda p: fitness(p, capacity))
-    for _ in range(generations):
-        if fitness(population[0], capacity)[0] <= least:
+    for generation in range(generations):
+        if generation and fitness(population[0], capacity)[0] <= least:
             break
         a, b = sorted(rng.choice(len(population), 2, replace=False))
         child = crossover(population[b], population[a], counts, capacity, rng)
@@ -273,35 +314,64 @@ def places(packing: Packing) -> pd.DataFrame:
     return pd.DataFrame(sorted(rows), columns=["length", "low", "high", "sequence", "offset"])
 
 
+#: Ranks of a length in a block, whose pieces and places meet in one task.
+RANKS = 1 << 16
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by length, block, rank and kind: pieces (kind 1) with the place that came last (kind 0) before them."""
+    last: tuple[int, int, int] | None = None  # low, sequence, offset
+    for batch in batches:
+        kind, rank = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        sequence, offset = (batch.column(k).fill_null(0).to_numpy() for k in (2, 3))
+        place = np.maximum.accumulate(np.where(kind == 0, np.arange(len(kind)), -1))
+        piece = np.flatnonzero(kind == 1)
+        at = place[piece]
+        low, seq, off = rank[at].copy(), sequence[at].copy(), offset[at].copy()
+        if last is not None and len(at):
+            carried = at < 0
+            low[carried], seq[carried], off[carried] = last
+        if len(place) and place[-1] >= 0:
+            last = int(rank[place[-1]]), int(sequence[place[-1]]), int(offset[place[-1]])
+        own = batch.take(pa.array(piece))
+        yield pa.RecordBatch.from_arrays([*own.columns[4:9], pa.array((seq + rank[piece] - low).astype(np.int64)), pa.array(off.astype(np.int64))], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+
+def by_block(plan: pd.DataFrame) -> pd.DataFrame:
+    """The places cut where a block of RANKS ranks ends: length, block, low, sequence, offset."""
+    first, last = plan["low"].to_numpy(np.int64) // RANKS, (plan["high"].to_numpy(np.int64) - 1) // RANKS
+    n = last - first + 1
+    at = np.repeat(np.arange(len(plan)), n)
+    block = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + first[at]
+    low = np.maximum(plan["low"].to_numpy(np.int64)[at], block * RANKS)
+    return pd.DataFrame({"length": plan["length"].to_numpy(np.int64)[at], "block": block, "low": low, "sequence": plan["sequence"].to_numpy(np.int64)[at] + low - plan["low"].to_numpy(np.int64)[at], "offset": plan["offset"].to_numpy(np.int64)[at]})
+
+
 def pack(docs: DataFrame, tokenizer: str, spark: SparkSession, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is one piece, the id 0. Only documents of more than
-    `capacity` ids are cut. Repeated rows are packed each for itself; an empty
-    table gives an empty result; columns other than doc_id and text are not
-    read. Which of several pieces of one length takes which place is decided by
-    partition, then doc_id, then piece.
+    `capacity` ids are cut. Repeated rows, and rows that share a doc_id or have
+    none, are packed each for itself; an empty table gives an empty result;
+    columns other than doc_id and text are not read. Which of several pieces of
+    one length takes which place is decided by partition, then doc_id, then
+    piece. Pieces and places meet by length and block of ranks in a shuffle, so
+    nothing that grows with the corpus is broadcast.
     """
     cut = pieces(docs, tokenizer, capacity).withColumn("_part", F.spark_partition_id())
     cut = stored(spark, cut, "pieces")
     cells = stored(spark, cut.groupBy("length", "_part").agg(F.count("*").alias("_n")), "lengths")
     counts = {int(r[0]): int(r[1]) for r in cells.groupBy("length").agg(F.sum("_n")).collect()}
-    plan = places(pack_histogram(spark, counts, capacity))
-    shared = spark.sparkContext.broadcast({c: plan[c].to_numpy(np.int64) for c in plan.columns})
+    plan = by_block(places(pack_histogram(spark, counts, capacity)))
     before = cells.withColumn("_before", F.sum("_n").over(W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).select(F.col("length").alias("_l"), F.col("_part").alias("_p"), F.coalesce("_before", F.lit(0)).alias("_before"))
     ranked = cut.withColumn("_in", F.row_number().over(W.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(before, (F.col("length") == F.col("_l")) & (F.col("_part") == F.col("_p"))).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_in")).alias("_rank"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = shared.value
-        order, big = None, int(plan["high"].max(initial=0)) + 1
-        order = plan["length"] * big + plan["low"]
-        for batch in batches:
-            length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-            at = np.searchsorted(order, length * big + rank, side="right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(plan["sequence"][at] + rank - plan["low"][at]), pa.array(plan["offset"][at])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
-
-    return ranked.transform(in_arrow, run, PIECES_DDL + ", sequence_id long, offset long")
+    ranked = ranked.join(before, (F.col("length") == F.col("_l")) & (F.col("_part") == F.col("_p"))).withColumn("_rank", F.col("_before") + F.col("_in"))
+    none = lambda t: F.lit(None).cast(t)
+    own = ranked.select(F.lit(1).alias("kind"), F.col("_rank").cast("long").alias("rank"), none("long").alias("sequence"), none("long").alias("offset"), "doc_id", "piece", "start", "length", "ids_crc32", F.floor(F.col("_rank") / RANKS).cast("long").alias("block"))
+    slots = spark.createDataFrame(plan, "length long, block long, low long, sequence long, offset long") if len(plan) else spark.createDataFrame([], "length long, block long, low long, sequence long, offset long")
+    slots = slots.select(F.lit(0).alias("kind"), F.col("low").alias("rank"), "sequence", "offset", none("long").alias("doc_id"), none("int").alias("piece"), none("long").alias("start"), "length", none("long").alias("ids_crc32"), "block")
+    met = own.unionByName(slots).repartition(shuffle_partitions(spark), "length", "block").sortWithinPartitions("length", "block", "rank", "kind")
+    return met.transform(in_arrow, _meet, PIECES_DDL + ", sequence_id long, offset long")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
