@@ -9,6 +9,7 @@ verifies each hit by comparing the words' bytes.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -17,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, POWERS, U64, bounded, flat, in_arrow, merged, mix, table, words
+from .common import KEY, LOWER, POWERS, U64, bounded, flat, in_arrow, merged, mix, stored, table, with_key, words
 
 WINDOW = 10
-#: Bytes of benchmark text in a broadcast block. A larger benchmark takes more blocks, and a scan for each.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in a block. Its index takes about eight times as much, on the driver and in each executor; a larger benchmark takes more blocks, and a scan for each.
+BLOCK_BYTES = 4 << 20
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 STEP = U64(0x9E3779B97F4A7C15)
@@ -40,71 +41,98 @@ def _window_hashes(word_hash: np.ndarray, row: np.ndarray, size: int) -> tuple[n
 
 
 class Index:
-    """The windows of a block of items: for each size of window the sorted hashes, the words and the items."""
+    """The windows of a block of items: for each size of window the sorted hashes and the first word of each.
+
+    Windows are kept as places in the items' text, so an entry takes 16 bytes.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]], size: int):
-        found: dict[int, dict[tuple[int, bytes], set]] = {}
-        for item, text in items:
-            data, offsets = flat(pa.array([text], pa.binary()))
-            data = LOWER[data]
-            start, end, row = words(data, offsets, IS_WORD)
-            if not len(start):
-                continue
-            n = min(size, len(start))
-            h = POWERS.hash(POWERS.prefix(data), start, end)
-            raw = data.tobytes()
-            tokens = [raw[a:b] for a, b in zip(start, end)]
-            for first, key in zip(*_window_hashes(h, row, n)):
-                found.setdefault(n, {}).setdefault((int(key), b" ".join(tokens[first : first + n])), set()).add(item)
-        self.sizes = {}
-        for n, entries in found.items():
-            order = sorted(entries)
-            self.sizes[n] = (np.array([k for k, _ in order], dtype=np.uint64), [w for _, w in order], [sorted(entries[o]) for o in order])
+        data, offsets = flat(pa.array([t for _, t in items], pa.binary()))
+        self.data = LOWER[data]
+        self.ids = np.array([i for i, _ in items], np.int64)
+        self.start, self.end, self.row = words(self.data, offsets, IS_WORD)
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        if not len(self.start):
+            return
+        h = POWERS.hash(POWERS.prefix(self.data), self.start, self.end)
+        count = np.bincount(self.row, minlength=len(items))
+        for n in np.unique(np.minimum(count[count > 0], size)).tolist():
+            first, key = _window_hashes(h, self.row, n)
+            if n < size:
+                short = count[self.row[first]] == n
+                first, key = first[short], key[short]
+            order = np.argsort(key, kind="stable")
+            self.sizes[n] = key[order], first[order].astype(np.int64)
+
+    def window(self, first: int, n: int) -> bytes:
+        raw = self.data
+        return b" ".join([raw[a:b].tobytes() for a, b in zip(self.start[first : first + n], self.end[first : first + n])])
 
     def scan(self, data: np.ndarray, start, end, row) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
         """(first word, last word + 1) of each verified window, and (row, item) pairs."""
         lows, highs, pairs = [], [], set()
         h = POWERS.hash(POWERS.prefix(data), start, end)
         raw = data.tobytes() if len(start) else b""
-        for n, (keys, texts, items) in self.sizes.items():
+        for n, (keys, firsts) in self.sizes.items():
             first, wh = _window_hashes(h, row, n)
-            at = np.searchsorted(keys, wh)
-            at[at == len(keys)] = 0
-            for i in np.flatnonzero(keys[at] == wh):
-                f, entry = int(first[i]), int(at[i])
+            low, high = np.searchsorted(keys, wh), np.searchsorted(keys, wh, side="right")
+            known: dict[bytes, list[int]] = {}
+            for i in np.flatnonzero(high > low):
+                f = int(first[i])
                 own = b" ".join([raw[a:b] for a, b in zip(start[f : f + n], end[f : f + n])])
-                while entry < len(keys) and keys[entry] == wh[i]:
-                    if texts[entry] == own:
-                        lows.append(f)
-                        highs.append(f + n)
-                        pairs.update((int(row[f]), item) for item in items[entry])
-                    entry += 1
+                if own not in known:
+                    known[own] = np.unique(self.ids[self.row[[x for x in firsts[low[i] : high[i]] if self.window(x, n) == own]]]).tolist()
+                if known[own]:
+                    lows.append(f)
+                    highs.append(f + n)
+                    pairs.update((int(row[f]), item) for item in known[own])
         return np.array(lows, np.int64), np.array(highs, np.int64), sorted(pairs)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in blocks of at most about BLOCK_BYTES; only one block is on the driver at a time."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text")).where("item_id is not null and length(text) > 0")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = 1 + total // BLOCK_BYTES
-    for k in range(n):
-        block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r[0], bytes(r[1])) for r in block.collect()]
+def _rows(benchmark: DataFrame) -> DataFrame:
+    """item_id (without one a number made of the text) and the text's bytes, of the items that have any."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.xxhash64(text)).alias("item_id"), F.encode(text, "UTF-8").alias("text")).where("length(text) > 0")
+
+
+FOUND = ("_words", "_hits", "_items")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, size: int = WINDOW) -> DataFrame:
-    """docs with three more columns: _words (count), _hits (byte spans start, end alternating, merged word runs) and _items (ids found).
+    """docs with three more columns: _words (count), _hits (byte spans start, end alternating) and _items (ids found).
 
     Words are runs of a-z (after lower-casing A-Z), digits and bytes over 127.
-    Null or empty texts have no words; items without words or id match nothing.
-    An empty benchmark finds nothing. Repeated rows are scanned each for itself.
-    All columns of docs come along; names that start with an underscore and clash are replaced.
+    Null or empty texts have no words; items without words match nothing; an
+    item without an id goes by a number made of its text. An empty benchmark
+    finds nothing. Repeated rows are scanned each for itself. All columns of
+    docs come along; columns of these three names are replaced.
+
+    One block of the benchmark is on the driver and in the executors at a time:
+    where there are several, the hits of each scan are stored, and the next
+    block takes the place of the last.
     """
-    out = docs.drop("_words", "_hits", "_items").select("*", F.lit(None).cast("long").alias("_words"), F.lit(None).cast("array<long>").alias("_hits"), F.lit(None).cast("array<long>").alias("_items"))
-    for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Index(block, size))
-        out = out.transform(in_arrow, _scanner(shared), out.schema)
-    return out
+    rows = _rows(benchmark)
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = 1 + total // BLOCK_BYTES
+    out = docs.drop(*FOUND).select("*", F.lit(None).cast("long").alias("_words"), F.lit(None).cast("array<long>").alias("_hits"), F.lit(None).cast("array<long>").alias("_items"))
+
+    def scanned(df: DataFrame, k: int):
+        block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        shared = spark.sparkContext.broadcast(Index([(r[0], bytes(r[1])) for r in block.collect()], size))
+        return df.transform(in_arrow, _scanner(shared), df.schema), shared
+
+    if blocks == 1:
+        return scanned(out, 0)[0]
+    slim, parts = with_key(out.select("doc_id", "text", *FOUND)).select(*KEY, "text", *FOUND), []
+    for k in range(blocks):
+        found, shared = scanned(slim, k)
+        parts.append(stored(spark, found.where(F.size("_hits") > 0).select(*KEY, "_hits", "_items"), "hits"))
+        shared.destroy()
+    every = functools.reduce(DataFrame.unionByName, parts).groupBy(*KEY).agg(F.flatten(F.collect_list("_hits")).alias("_hits"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
+    counted = with_key(out).drop("_hits", "_items").join(every, KEY, "left")
+    empty = F.array().cast("array<long>")
+    counted = counted.withColumns({"_hits": F.coalesce("_hits", empty), "_items": F.coalesce("_items", empty)}).select(*out.columns)
+    return scanned(counted, blocks)[0]  # no block has that number: counts the words
 
 
 def _scanner(shared):
@@ -169,10 +197,10 @@ def contamination_report(found: DataFrame) -> DataFrame:
 def remove_contamination(found: DataFrame, max_share: float = 0.5) -> DataFrame:
     """The documents without their hit spans; one whose hit bytes exceed max_share of its text goes whole.
 
-    The text of a document without hits comes back as it was. n_chars, where
-    there is such a column, follows the new text.
+    The text of a document without hits comes back as it was, a null too.
+    n_chars, where there is such a column, follows the new text.
     """
-    kept = [f for f in found.schema.fields if f.name not in ("_words", "_hits", "_items")]
+    kept = [f for f in found.schema.fields if f.name not in FOUND]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -497,3 +497,37 @@ def test_jaccard_join_of_repeated_half_similar_rows(spark):
     df = spark.createDataFrame(out, "doc_id long, text string").repartition(3)
     got = [r for r in jaccard_join(df, spark, links=False).collect() if r.doc_id < 100]
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [x for x in brute.near(out) if x[0] < 100]
+
+
+def test_pii_of_many_spans_in_one_text(spark, tmp_path):
+    """Time grows with the spans, not with their square; 50,000 spans of one text."""
+    import time
+
+    from tessaline.llm.pii import op2_pii, redact
+
+    text = "é " + "".join(f"mail a{k}@b.co, 10.0.{k % 300}.1 " for k in range(25_000))
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    got = op2_pii(spark, str(tmp_path))
+    assert rows(got, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == brute.private([(1, text), (2, None)])
+    clean = {r.doc_id: r.text for r in redact(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    assert clean[1].count("[email]") == 25_000 and "@" not in clean[1] and clean[1].startswith("é mail [email], [ip] mail")
+    assert time.time() - began < 60
+    assert op2_pii(spark, str(tmp_path)).where("doc_id > 5").count() == 0
+
+
+def test_packing_in_blocks_of_ranks(spark, monkeypatch):
+    import public_tokenizers
+
+    from tessaline.llm import packing
+
+    monkeypatch.setattr(packing, "RANKS", 7)
+    df = spark.createDataFrame([(k % 50, "word " * (k % 9)) for k in range(300)] + [(None, None)] * 3, "doc_id long, text string").repartition(4)
+    got = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), spark, 20).collect()
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(got) == 303 and sum(r.length for r in got) == sum(k % 9 + 1 for k in range(300)) + 3
+    for b in bins.values():
+        ends = [a + n for a, n in sorted(b)]
+        assert [a for a, _ in sorted(b)] == [0, *ends[:-1]] and ends[-1] <= 20
