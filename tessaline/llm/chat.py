@@ -17,14 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import in_arrow, shuffle_partitions, table
 
 #: The template's control strings, without and with backslashes after their first character.
 CONTROL = re.compile(r"(<|\[)(\\*)(/?s>|/?INST\]|</?SYS>>|/?TURN(?=[ \]])|/?\|endoftext\|>|\|(?:endoftext|startoftext)\|>)")
 ESCAPED = re.compile(r"(<|\[)\\(\\*)(/?s>|/?INST\]|</?SYS>>|/?TURN(?=[ \]])|/?\|endoftext\|>|\|(?:endoftext|startoftext)\|>)")
 TURN = re.compile(r"\[TURN ([^\]]*)\](?:\n)|\[/TURN\]\n|<s>|</s>\n")
 ROLE = re.compile(r"[\]\\\n%]")
-SEGMENT = 4 << 20  # characters of a conversation encoded at once; longer ones are cut between turns
 
 
 def escape(text: str) -> str:
@@ -67,17 +66,16 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def loss_spans(tokens: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def loss_spans(tokens: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """The parts of the spans that tokens cover, as (starts, ends): the text under the loss mask.
 
-    Both lists are sorted. For each span the tokens that meet it are found by
-    binary search and cut to it; parts of one span that touch or overlap (a
-    character of several tokens) become one.
+    tokens: rows (start, end). Both are sorted. For each span the tokens that
+    meet it are found by binary search and cut to it; parts of one span that
+    touch or overlap (a character of several tokens) become one.
     """
-    if not spans or not tokens:
+    if not spans or not len(tokens):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.array(tokens, np.int64)
-    start, end = pairs[:, 0], np.maximum.accumulate(pairs[:, 1])
+    start, end = tokens[:, 0], np.maximum.accumulate(tokens[:, 1])
     low, high = [], []
     for a, b in spans:
         first, last = np.searchsorted(end, a, side="right"), np.searchsorted(start, b, side="left")
@@ -85,9 +83,10 @@ def loss_spans(tokens: list[tuple[int, int]], spans: list[tuple[int, int]]) -> t
             continue
         s, e = np.maximum(start[first:last], a), np.minimum(end[first:last], b)
         new = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1])))
-        low += s[new].tolist()
-        high += e[np.concatenate((new[1:] - 1, [len(e) - 1]))].tolist()
-    return np.array(low, np.int64), np.array(high, np.int64)
+        low.append(s[new])
+        high.append(e[np.concatenate((new[1:] - 1, [len(e) - 1]))])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(low or none), np.concatenate(high or none)
 
 
 class Formatter:
@@ -102,14 +101,7 @@ class Formatter:
     def format(self, turns: list[tuple[str, str]]) -> dict:
         """formatted, n_tokens, n_loss_tokens, and the loss text unescaped, all read back from the formatted text."""
         formatted, spans = render(turns)
-        cuts, at = [], 0
-        while len(formatted) - at > SEGMENT and (to := formatted.rfind("[/TURN]\n", at, at + SEGMENT)) > at:
-            cuts.append((at, to + 8))
-            at = to + 8
-        cuts.append((at, len(formatted)))
-        tokens = []
-        for a, b in cuts:
-            tokens += [(x + a, y + a) for x, y in self.own.encode(formatted[a:b], add_special_tokens=False).offsets]
+        tokens = np.array(self.own.encode(formatted, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
         low, high = loss_spans(tokens, spans)
         text, k = [], 0
         for a, b in spans:
@@ -118,8 +110,9 @@ class Formatter:
                 part.append(formatted[low[k] : high[k]])
                 k += 1
             text.append(unescape("".join(part)))
-        masked = np.searchsorted(high, [t[0] for t in tokens], side="right")
-        n_loss = int(sum(k < len(low) and low[k] < t[1] for k, t in zip(masked, tokens))) if len(low) else 0
+        at = np.searchsorted(high, tokens[:, 0], side="right")
+        inside = at < len(low)
+        n_loss = int((low[at[inside]] < tokens[inside, 1]).sum())
         return {"formatted": formatted, "n_tokens": len(tokens), "n_loss_tokens": n_loss, "loss": "".join(text)}
 
 
@@ -134,9 +127,11 @@ def format_chats(turns: DataFrame, tokenizer: str, spark: SparkSession) -> DataF
 
     Rows of a conversation are ordered by turn (null first), then role, then
     text; repeated rows are turns of their own. A null text is empty, a null
-    role is the empty role, null conv_ids form one conversation. An empty table
-    gives an empty result; other columns are not read. The sorted rows stream
-    through a task, which holds one conversation at a time.
+    role is the empty role; a row with a null conv_id is a conversation of its
+    own. Where there is a column `part`, rows of one conv_id but several parts
+    are several conversations. An empty table gives an empty result; other
+    columns are not read. The sorted rows stream through a task, which holds
+    one conversation at a time and encodes it whole.
     """
 
     def row(formatter: Formatter, conv, held) -> tuple:
@@ -149,11 +144,11 @@ def format_chats(turns: DataFrame, tokenizer: str, spark: SparkSession) -> DataF
         return conv, len(back), seen.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(out["formatted"]), out["n_tokens"], out["n_loss_tokens"], out["formatted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        formatter, rows, conv, held, size = Formatter(tokenizer), [], None, [], 0
+        formatter, rows, conv, held, size = Formatter(tokenizer), [], (None, 0), [], 0
         for batch in batches:
-            for c, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                if held and c != conv:
-                    rows.append(row(formatter, conv, held))
+            for *c, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4))):
+                if held and (c != conv or c[0] is None):
+                    rows.append(row(formatter, conv[0], held))
                     size += len(rows[-1][-1])
                     held = []
                     if size > 4 << 20:
@@ -162,13 +157,14 @@ def format_chats(turns: DataFrame, tokenizer: str, spark: SparkSession) -> DataF
                 conv = c
                 held.append((role, text))
         if held:
-            rows.append(row(formatter, conv, held))
+            rows.append(row(formatter, conv[0], held))
         if rows:
             yield _rows(rows)
 
-    picked = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
-    dealt = picked.repartition(shuffle_partitions(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(run, DDL)
+    part = F.col("part") if "part" in turns.columns else F.lit(0)
+    picked = turns.select(F.col("conv_id").cast("long").alias("conv_id"), part.cast("string").alias("part"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
+    dealt = picked.repartition(shuffle_partitions(spark), F.coalesce("conv_id", F.xxhash64("turn", "role", "text"))).sortWithinPartitions("conv_id", "part", "turn", "role", "text")
+    return dealt.transform(in_arrow, run, DDL)
 
 
 def _rows(rows) -> pa.RecordBatch:
@@ -176,11 +172,9 @@ def _rows(rows) -> pa.RecordBatch:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the added one, which is its own even if the table has a conversation -1."""
     import public_tokenizers
 
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.lit("given").alias("part"))
+    extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]", "added"), (-1, 1, "assistant", "</s>[INST] ok [/INST]", "added")], "conv_id long, turn long, role string, text string, part string")
     return format_chats(turns.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json"), spark).drop("formatted")
-
-
-# Not expressed in SQL: the digest columns are read back from the formatted text; the plain digests can be.
