@@ -1,10 +1,11 @@
 """Language identification with string kernels.
 
-The kernel of two texts is the normalised number of n-grams (n = 1, 2, 3 bytes
-of the folded text) that both contain, whatever their counts: the blended
-presence spectrum. Nyström landmarks turn it into a short feature vector,
-one-versus-rest ridge regression in that space gives a score per language, and
-a batch of texts is scored by two matrix products.
+The kernel of two texts is the number of n-grams (n = 1, 2, 3 bytes of the
+folded text) that both contain, whatever their counts, over the root of the
+product of their own numbers: the blended presence spectrum. Nyström landmarks
+turn it into a short feature vector, and one-versus-rest ridge regression in
+that space gives a score per language. Both are linear in the presence of the
+landmarks' n-grams, so a batch of texts is scored by one matrix product.
 """
 
 from __future__ import annotations
@@ -20,74 +21,85 @@ from pyspark.sql import functions as F
 
 from .common import bounded, flat, in_arrow, table
 
-#: Bound of the labelled sample: about so many texts of each language. The vocabulary is what these texts share.
+#: Bound of the labelled sample: about so many texts of each language.
 PER_LANGUAGE = 300
 LANDMARKS = 96
-#: Texts scored by one product: a text is a row of up to 3 * GRAMS floats.
+#: Texts scored by one product.
 ROWS = 128
-GRAMS = 6000
 RIDGE = 1e-2
 LETTER = re.compile(r"[^\W\d_]")
+N = (1, 2, 3)
 
-FOLD = np.full(256, 32, dtype=np.uint8)
-FOLD[97:123] = np.arange(97, 123)
-FOLD[65:91] = np.arange(97, 123)
-FOLD[128:] = np.arange(128, 256)
+#: The symbol of each byte: letters without case, bytes over 127, and one for all others.
+SYMBOL = np.zeros(256, dtype=np.int32)
+SYMBOL[97:123] = SYMBOL[65:91] = np.arange(1, 27)
+SYMBOL[128:] = np.arange(27, 155)
+SYMBOLS = 155
 
 
-def _codes(folded: np.ndarray, n: int) -> np.ndarray:
-    """The n-gram that starts at each byte, as a number."""
-    m = len(folded) - n + 1
+def _codes(symbols: np.ndarray, n: int) -> np.ndarray:
+    """The n-gram that starts at each symbol, as a number under SYMBOLS ** n."""
+    m = len(symbols) - n + 1
     if m <= 0:
         return np.zeros(0, np.int32)
-    out = folded[:m].astype(np.int32)
+    out = symbols[:m].copy()
     for k in range(1, n):
-        out = (out << 8) | folded[k : k + m]
+        out = out * SYMBOLS + symbols[k : k + m]
     return out
 
 
+def distinct(symbols: np.ndarray, scratch: np.ndarray) -> list[np.ndarray]:
+    """For each n the distinct n-grams of one text. scratch: SYMBOLS ** 3 numbers of any value."""
+    out = []
+    for n in N:
+        codes = _codes(symbols, n)
+        place = np.arange(len(codes), dtype=np.int32)
+        scratch[codes] = place  # the last place of each n-gram stays
+        out.append(codes[scratch[codes] == place])
+    return out
+
+
+def presence(data: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray], width: int, scratch: np.ndarray) -> np.ndarray:
+    """Rows over the tables' n-grams: 1 over the root of the text's number of distinct n-grams, where the text has the n-gram."""
+    symbols, out = SYMBOL[data], np.zeros((len(offsets) - 1, width), dtype=np.float32)
+    for k in range(len(out)):
+        own = distinct(symbols[offsets[k] : offsets[k + 1]], scratch)
+        total = sum(map(len, own))
+        for codes, t in zip(own, tables):
+            ids = t[codes]
+            out[k, ids[ids >= 0]] = 1 / np.sqrt(max(total, 1))
+    return out
+
+
+def numbered(grams: list[np.ndarray]) -> list[np.ndarray]:
+    """For each n a table from n-gram to its column, -1 for none."""
+    tables, base = [], 0
+    for n, own in zip(N, grams):
+        t = np.full(SYMBOLS**n, -1, dtype=np.int32)
+        t[own] = np.arange(base, base + len(own))
+        base += len(own)
+        tables.append(t)
+    return tables
+
+
 @dataclass
 class Model:
-    """languages; per n the n-grams of the vocabulary; landmarks x vocabulary; landmarks x languages."""
+    """languages; per n the n-grams of the landmarks; n-grams x languages."""
 
     languages: list[str]
     grams: list[np.ndarray]
-    landmarks: np.ndarray
     weights: np.ndarray
 
     def __post_init__(self):
         self._tables = None
 
-    def tables(self) -> list[np.ndarray]:
-        if self._tables is None:
-            self._tables, base = [], 0
-            for n, grams in enumerate(self.grams, 1):
-                t = np.full(1 << (8 * n), -1, dtype=np.int16)
-                t[grams] = np.arange(base, base + len(grams))
-                base += len(grams)
-                self._tables.append(t)
-        return self._tables
-
     def __getstate__(self):
         return self.__dict__ | {"_tables": None}
 
-    def presence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Rows of 0 and 1 over the vocabulary, scaled to length 1."""
-        folded, rows = FOLD[data], len(offsets) - 1
-        width = sum(map(len, self.grams))
-        out = np.zeros((rows, width), dtype=np.float32)
-        owner = np.repeat(np.arange(rows, dtype=np.int64) * width, np.diff(offsets))
-        cells = out.reshape(-1)
-        for n, t in enumerate(self.tables(), 1):
-            ids = t[_codes(folded, n)]
-            if len(ids):
-                keep = np.flatnonzero((ids >= 0) & (owner[: len(ids)] == owner[n - 1 :]))
-                cells[owner[keep] + ids[keep]] = 1
-        out /= np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
-        return out
-
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return (self.presence(data, offsets) @ self.landmarks.T) @ self.weights
+        if self._tables is None:
+            self._tables, self._scratch = numbered(self.grams), np.zeros(SYMBOLS**3, np.int32)
+        return presence(data, offsets, self._tables, len(self.weights), self._scratch) @ self.weights
 
 
 def fit_texts(texts: list[bytes], labels: list[str], seed: int = 7) -> Model | None:
@@ -95,31 +107,25 @@ def fit_texts(texts: list[bytes], labels: list[str], seed: int = 7) -> Model | N
     if not texts:
         return None
     languages = sorted(set(labels))
-    data, offsets = flat(pa.array(texts, pa.binary()))
-    folded, owner = FOLD[data], np.repeat(np.arange(len(texts)), np.diff(offsets))
-    grams = []
-    for n in (1, 2, 3):
-        codes = _codes(folded, n).astype(np.int64)
-        codes = codes[owner[: len(codes)] == owner[n - 1 :]] * len(texts) + owner[: len(codes)][owner[: len(codes)] == owner[n - 1 :]] if len(codes) else codes
-        seen, count = np.unique(np.unique(codes) // len(texts), return_counts=True)
-        grams.append(np.sort(seen[np.argsort(-count, kind="stable")[:GRAMS]]))
-    model = Model(languages, grams, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    x = model.presence(data, offsets)
     y = np.array([languages.index(v) for v in labels])
     rng = np.random.default_rng(seed)
     each = max(1, LANDMARKS // len(languages))
     chosen = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:each] for k in range(len(languages))])
-    landmarks = x[chosen]
-    inner, cross = (landmarks @ landmarks.T).astype(np.float64), (x @ landmarks.T).astype(np.float64)
-    value, vector = np.linalg.eigh(inner)
+    scratch = np.zeros(SYMBOLS**3, np.int32)
+    own = [distinct(SYMBOL[np.frombuffer(texts[k], np.uint8)], scratch) for k in chosen]
+    grams = [np.unique(np.concatenate([o[n] for o in own])) for n in range(len(N))]
+    tables, width = numbered(grams), sum(map(len, grams))
+    landmarks = presence(*flat(pa.array([texts[k] for k in chosen], pa.binary())), tables, width, scratch)
+    cross = np.concatenate([presence(*flat(pa.array(texts[at : at + ROWS], pa.binary())), tables, width, scratch) @ landmarks.T for at in range(0, len(texts), ROWS)]).astype(np.float64)
+    value, vector = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     good = value > 1e-6 * max(value.max(), 1e-12)
     root = vector[:, good] / np.sqrt(value[good])
     phi = cross @ root
     weight = 1.0 / np.bincount(y, minlength=len(languages))[y]
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, 0.0)
     gram = phi.T @ (phi * weight[:, None]) + RIDGE / max(len(languages), 1) * np.eye(phi.shape[1])
-    weights = root @ np.linalg.solve(gram, phi.T @ (target * weight[:, None]))
-    return Model(languages, grams, landmarks, weights.astype(np.float32))
+    dual = root @ np.linalg.solve(gram, phi.T @ (target * weight[:, None]))
+    return Model(languages, grams, landmarks.T @ dual.astype(np.float32))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -145,7 +151,9 @@ def predict(docs: DataFrame, model: Model | None, spark: SparkSession) -> DataFr
     """docs with lang_pred and score (0 to 1); a text that is null or has no letter is `und` with score 0.
 
     Without a model (no labelled row) every text is `und`. Columns of these
-    names are replaced; all other columns come along. Whole texts are read.
+    names are replaced; all other columns come along. Repeated rows and rows
+    without an id are each judged for themselves; an empty table gives an empty
+    result. Whole texts are read.
     """
     docs = docs.drop("lang_pred", "score")
     shared = spark.sparkContext.broadcast(model)
@@ -181,5 +189,5 @@ LEAST_SCORE = 0.2
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a letter or without a language that scores LEAST_SCORE go."""
+    """Pipeline stage: documents without a letter (so null and empty texts) or without a language that scores LEAST_SCORE go; an empty table stays empty."""
     return predict(docs, fit(docs), spark).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)

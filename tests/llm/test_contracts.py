@@ -391,7 +391,7 @@ def test_chat(spark, tmp_path):
         for turn in range(rng.randrange(1, 7)):
             text = rng.choice([None, "", "".join(rng.choice(bits) for _ in range(rng.randrange(12)))])
             turns.append((conv, turn, rng.choice(["user", "assistant", "system", "odd]\nrole%", None]), text))
-    turns += [(100, 0, "assistant", "same"), (100, 0, "assistant", "same"), (None, 1, "assistant", "null conversation")]
+    turns += [(100, 0, "assistant", "same"), (100, 0, "assistant", "same")]
     df = spark.createDataFrame([(*t, "k") for t in turns], "conv_id long, turn long, role string, text string, loss string").repartition(4)
     got = {r.conv_id: r for r in format_chats(df, public_tokenizers.path("byte_bpe_50k.json"), spark).collect()}
     want = {}
@@ -405,16 +405,34 @@ def test_chat(spark, tmp_path):
         assert (got[c].loss_chars, got[c].loss_sha256, got[c].formatted_chars) == (len(loss), sha256(loss.encode()).hexdigest(), len(got[c].formatted))
 
 
-def test_chat_segments(monkeypatch):
+def test_chat_of_null_empty_and_added_conversations(spark, tmp_path):
+    from tessaline.llm.chat import format_chats, op7_chat_format
     import public_tokenizers
 
-    from tessaline.llm import chat
+    turns = [(None, 0, "assistant", "a"), (None, 0, "assistant", "a"), (None, 1, "user", None), (-1, 0, "assistant", "own"), (4, 0, "assistant", "é " * 300_000)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r.conv_id is None, r.conv_id or 0, r.n_turns, r.loss_chars) for r in op7_chat_format(spark, str(tmp_path)).collect())
+    assert got == [(False, -1, 1, 3), (False, -1, 2, 21), (False, 4, 1, 600_000), (True, 0, 1, 0), (True, 0, 1, 1), (True, 0, 1, 1)]
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert format_chats(none, public_tokenizers.path("byte_bpe_50k.json"), spark).count() == 0
 
-    f = chat.Formatter(public_tokenizers.path("byte_bpe_50k.json"))
-    turns = [("assistant" if k % 2 else "user", f"turn {k} é " * 9) for k in range(40)]
-    whole = f.format(turns)
-    monkeypatch.setattr(chat, "SEGMENT", 300)
-    assert f.format(turns)["loss"] == whole["loss"] == "".join(t for r, t in turns if r == "assistant")
+
+def test_the_kernel_is_the_shared_share_of_distinct_grams():
+    from tessaline.llm.language_id import SYMBOLS, distinct, SYMBOL, numbered, presence
+    from tessaline.llm.common import flat
+
+    def grams(t):
+        low = "".join(c.lower() if c.isascii() and c.isalpha() else " " for c in t)
+        return {low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)}
+
+    texts, scratch = ["The cat, the CAT 9", "a dog and the fox", "", "x"], np.zeros(SYMBOLS**3, np.int32)
+    own = [distinct(SYMBOL[np.frombuffer(t.encode(), np.uint8)], scratch) for t in texts]
+    every = [np.unique(np.concatenate([o[n] for o in own])) for n in range(3)]
+    x = presence(*flat(pa.array([t.encode() for t in texts], pa.binary())), numbered(every), sum(map(len, every)), scratch)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            size = len(grams(a)) * len(grams(b))
+            assert (x @ x.T)[i, j] == pytest.approx(len(grams(a) & grams(b)) / size**0.5 if size else 0, abs=1e-6)
 
 
 def test_language_id(spark, empty, tmp_path):
@@ -430,6 +448,8 @@ def test_language_id(spark, empty, tmp_path):
     odd = spark.createDataFrame([(1, None), (2, "12 !?"), (3, ""), (4, "the of and thing"), (None, "der die und schheit")], "doc_id long, text string")
     assert [r.lang_pred for r in predict(odd, model, spark).orderBy(F.col("doc_id").asc_nulls_last()).collect()] == ["und", "und", "und", "en", "de"]
     assert predict(empty, model, spark).count() == 0
+    clash = spark.createDataFrame([(1, "the of and thing", "x", 9.0, 7)] * 2 + [(2, "der und die " * 200_000, None, None, 8)], "doc_id long, text string, lang_pred string, score double, other int")
+    assert sorted((r.doc_id, r.lang_pred, r.other) for r in predict(clash, model, spark).collect()) == [(1, "en", 7), (1, "en", 7), (2, "de", 8)]
     assert {r.lang_pred for r in predict(odd, None, spark).collect()} == {"und"}
 
 
