@@ -2,31 +2,38 @@
 
 Archives are written by Spark's own text writer as raw bytes, so they land in
 any store Spark can write. Its line separator is an empty gzip member, which
-keeps every archive a valid multi-member gzip file. The reader takes one
-archive a row and goes through it member by member: incremental decompression,
-content-length framing, digest verification.
+keeps every archive a valid multi-member gzip file. The reader opens an archive
+as a stream and goes through it record by record: incremental decompression,
+content-length framing, digest verification. It holds one record at a time and
+reads any archive of gzip members or plain records, whatever their types.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import fresh_path, in_arrow, join_evenly, stored, table
 
 LEAST_REVISIT = 100
 EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 STEP = 1 << 16
+MOST_HEADER = 1 << 20  # bytes of a record's header
 OUT = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("ok", pa.bool_())]
+    [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("ok", pa.bool_()), ("record_id", pa.string())]
 )
-OUT_DDL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, ok boolean"
+OUT_DDL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, ok boolean, record_id string"
 
 
 class WarcError(ValueError):
@@ -49,55 +56,128 @@ def member(page: int | None, url: str | None, kind: str, size: int, digest: str,
     return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + squeeze.flush()
 
 
-def read_members(archive: bytes) -> Iterator[bytes]:
-    """The decompressed members of a multi-member gzip file, one at a time; raises WarcError where it is cut or damaged."""
-    view, at = memoryview(archive), 0
-    while at < len(view):
-        unzip, parts = zlib.decompressobj(31), []
+class Unzipped:
+    """The plain bytes of an archive, read forward: gzip members one after the other, or an archive that is not compressed."""
+
+    def __init__(self, raw: BinaryIO):
+        self.raw, self.held, self.rest, self.unzip = raw, bytearray(), b"", None
+        self.rest = raw.read(STEP)
+        self.plain = not self.rest.startswith(b"\x1f\x8b")
+
+    def _more(self) -> bool:
+        """Add some bytes to what is held; False at the end. Raises WarcError where a member is cut short or damaged."""
+        piece = self.rest or self.raw.read(STEP)
+        self.rest = b""
+        if not piece:
+            if self.unzip is not None:
+                raise WarcError("the archive ends within a member")
+            return False
+        if self.plain:
+            self.held += piece
+            return True
+        self.unzip = self.unzip or zlib.decompressobj(31)
         try:
-            while not unzip.eof:
-                if at >= len(view):
-                    raise WarcError("the archive ends within a member")
-                piece = view[at : at + STEP]
-                parts.append(unzip.decompress(piece))
-                at += len(piece)
+            self.held += self.unzip.decompress(piece, 16 * STEP)
         except zlib.error as e:
             raise WarcError(f"damaged member: {e}") from e
-        at -= len(unzip.unused_data)
-        yield b"".join(parts)
-
-
-def parse(record: bytes) -> tuple[dict[str, str], bytes]:
-    """(headers in lower case, block) of a record framed by its content length."""
-    end = record.find(b"\r\n\r\n")
-    if end < 0 or not record.startswith(b"WARC/"):
+        if self.unzip.eof:
+            self.rest, self.unzip = self.unzip.unused_data, None
+        else:
+            self.rest = self.unzip.unconsumed_tail
+        return True
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes, fewer at the end."""
+        while len(self.held) < n and self._more():
+            pass
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def until(self, end: bytes, most: int) -> bytes | None:
+        """All up to and with the next `end`; None if the archive ends before anything."""
+        at = 0
+        while (found := self.held.find(end, at)) < 0:
+            at = max(0, len(self.held) - len(end) + 1)
+            if len(self.held) > most:
+                raise WarcError("no record header")
+            if not self._more():
+                if self.held:
+                    raise WarcError("no record header")
+                return None
+        return self.take(found + len(end))
+
+    def skip_lines(self) -> None:
+        """Past the empty lines that end a record."""
+        while True:
+            if not self.held and not self._more():
+                return
+            n = len(self.held) - len(self.held.lstrip(b"\r\n"))
+            del self.held[:n]
+            if self.held:
+                return
+
+
+def holds(header: str | None, data: bytes) -> bool:
+    """Whether a digest header (sha1, sha256 or md5, as hex or base32) is that of the data; True without one or with another kind."""
+    kind, _, value = (header or "").partition(":")
+    if kind.lower().replace("-", "") not in ("sha1", "sha256", "md5") or not value:
+        return True
+    own = hashlib.new(kind.lower().replace("-", ""), data)
+    return value.strip().lower() in (own.hexdigest(), base64.b32encode(own.digest()).decode().lower().rstrip("="), base64.b32encode(own.digest()).decode().lower())
+
+
+def read_headers(stream: Unzipped) -> dict[str, str] | None:
+    """The headers of the next record by lower-case name; None at the end of the archive."""
+    stream.skip_lines()
+    head = stream.until(b"\r\n\r\n", MOST_HEADER)
+    if head is None:
+        return None
+    if not head.startswith(b"WARC/"):
         raise WarcError("no record header")
-    head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in record[:end].decode().split("\r\n")[1:])}
-    size = int(head["content-length"])
-    block = record[end + 4 : end + 4 + size]
-    if len(block) != size or record[end + 4 + size :] != b"\r\n\r\n":
-        raise WarcError("the content length does not frame the block")
-    return head, block
-
-
-def _digest_of(header: str) -> str:
-    return header.partition(":")[2]
-
-
-def read_records(archive: bytes) -> Iterator[tuple]:
-    """Rows (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload, ok) of an archive.
-
-    ok tells that the block's digest, and for a response the payload's digest and length, hold.
+    out: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()  # a folded line
+        elif ":" in line:
+            name = line.partition(":")[0].strip().lower()
+            out[name] = line.partition(":")[2].strip()
+    if not out.get("content-length", "").isdigit():
+        raise WarcError("no content length")
+    return out
+
+
+def _page(uri: str | None) -> int | None:
+    """The number of a <urn:page:...> that this module writes; None for any other id."""
+    number = (uri or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if (uri or "").startswith("<urn:page:") and number.lstrip("-").isdigit() else None
+
+
+def read_records(archive: BinaryIO | bytes) -> Iterator[tuple]:
+    """Rows (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload, ok, record_id) of an archive.
+
+    The payload is the record's block, of an HTTP message what follows its
+    header; payload_digest and payload_bytes are those of the full payload,
+    which for a revisit its headers name. ok tells that the block and payload
+    digests hold, as far as the record has them.
     """
-    for record in read_members(archive):
-        if not record:
-            continue
-        head, block = parse(record)
-        own = hashlib.sha256(block).hexdigest()
-        digest, size, kind = _digest_of(head["warc-payload-digest"]), int(head["x-payload-length"]), head["warc-type"]
-        ok = own == _digest_of(head["warc-block-digest"]) and (kind == "revisit" or (own == digest and size == len(block)))
-        number = lambda name: int(v[10:-1]) if (v := head.get(name, "")) not in ("", "<urn:page:>") else None
-        yield number("warc-record-id"), head.get("warc-target-uri"), size, digest, kind, number("warc-refers-to"), block, ok
+    stream = Unzipped(io.BytesIO(archive) if isinstance(archive, bytes) else archive)
+    while (head := read_headers(stream)) is not None:
+        size, kind = int(head["content-length"]), head.get("warc-type", "")
+        block = stream.take(size)
+        if len(block) != size or stream.take(4) != b"\r\n\r\n":
+            raise WarcError("the content length does not frame the block")
+        payload = block
+        if head.get("content-type", "").lower().startswith("application/http"):
+            payload = block.partition(b"\r\n\r\n")[2]
+        named, revisit = head.get("warc-payload-digest"), kind == "revisit"
+        ok = holds(head.get("warc-block-digest"), block) and (revisit or holds(named, payload))
+        full = int(head["x-payload-length"]) if head.get("x-payload-length", "").isdigit() else len(payload)
+        if not revisit:
+            ok, full = ok and full == len(payload), len(payload)
+        digest = named.partition(":")[2] if revisit and named else hashlib.sha256(payload).hexdigest()
+        yield _page(head.get("warc-record-id")), head.get("warc-target-uri"), full, digest, kind, _page(head.get("warc-refers-to")), payload, ok, head.get("warc-record-id")
 
 
 def write_warc(pages: DataFrame, path: str, level: int = 6) -> None:
@@ -106,11 +186,12 @@ def write_warc(pages: DataFrame, path: str, level: int = 6) -> None:
     A null html is an empty payload. Of equal payloads of at least 100 bytes
     the smallest page_id is the response, and rows with other ids revisit it;
     null ids and rows that repeat the smallest id are responses. Every row
-    gives a record; an empty table gives archives without records.
+    gives a record, whose id is made of the page_id, so it is unique where the
+    page_id is; an empty table gives archives without records.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("body")).withColumn("digest", F.sha2("body", 256))
-    shared = rows.where(F.length("body") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    marked = rows.join(shared, "digest", "left").select("page_id", "url", "body", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers"))
+    shared = stored(pages.sparkSession, rows.where(F.length("body") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("_n")).where("_n > 1"), "shared")
+    marked = join_evenly(rows, shared, "digest", "_n", ["page_id", "url"]).select("page_id", "url", "body", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,26 +206,47 @@ def write_warc(pages: DataFrame, path: str, level: int = 6) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
     # The cast keeps the bytes as they are, and the text writer writes them unchanged.
-    marked.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER).text(path)
+    marked.transform(in_arrow, run, "member binary").select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the archives under path, as read_records gives them."""
+    """The records of the archives under path, as read_records gives them.
+
+    Where the store of the path is one that a worker can open itself (a shared
+    folder, S3, GCS, HDFS), a task gets the archives' names and streams them,
+    however large. From other stores Spark hands over whole archives, which
+    must then be under 2 GiB each.
+    """
+    try:
+        fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file:{path}")
+        streams = True
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        streams = False
+
+    def opened(value) -> BinaryIO:
+        if not streams:
+            return io.BytesIO(value)
+        if value.startswith("file:"):
+            store, name = fs.LocalFileSystem(), "/" + value.removeprefix("file:").lstrip("/")
+        else:
+            store, name = fs.FileSystem.from_uri(quote(value, safe="/:@?=&%"))
+        return store.open_input_stream(name, compression=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive in batch.column(0).to_pylist():
+            for value in batch.column(0).to_pylist():
                 rows, held = [], 0
-                for r in read_records(archive):
-                    rows.append(r)
-                    held += len(r[6])
-                    if held > 4 << 20:
-                        yield _rows(rows)
-                        rows, held = [], 0
+                with opened(value) as archive:
+                    for r in read_records(archive):
+                        rows.append(r)
+                        held += len(r[6])
+                        if held > 4 << 20:
+                            yield _rows(rows)
+                            rows, held = [], 0
                 if rows:
                     yield _rows(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, OUT_DDL)
+    return spark.read.format("binaryFile").load(path).select("path" if streams else "content").transform(in_arrow, run, OUT_DDL)
 
 
 def _rows(rows) -> pa.RecordBatch:
