@@ -179,7 +179,7 @@ POWERS = Powers()
 #: The four largest primes under 2^31 and a base for each.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 BASES = (1103527590, 1597463007, 741103597, 2027808453)
-FIELD_BLOCK = 1 << 22
+FIELD_BLOCK = 1 << 18
 
 
 class Fields:

@@ -38,10 +38,10 @@ SKETCH_BITS = 22
 BLOCK_BITS = 16
 FRAGMENT = 512  # shingles of a pivot in a fragment, about
 CROWD = 256  # classes compared with a pivot in one task, about; more of them are spread by salts
-CHUNK = 512  # classes of a component in a chunk, about
-CHUNK_SHINGLES = 1 << 18  # shingles of a chunk, about, unless a single class has more
+CHUNK = 1024  # classes of a component in a chunk, about
+CHUNK_SHINGLES = 1 << 19  # shingles of a chunk, about, unless a single class has more
 PIECE = 1 << 16  # shingles of the largest class of a component in a piece, about
-STRIP = 4096  # shingles in a strip of an incidence matrix
+STRIP = 2048  # shingles in a strip of an incidence matrix
 FLUSH = 500_000  # postings that a map task holds
 MEET = 2048  # classes of a shingle's group in a chunk, about
 MOST_CLASHES = 100_000  # sets whose first 64-bit ids clash
@@ -373,8 +373,8 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(common, pa.int64())], names=["a", "b", "common"])
 
 
-def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, spark: SparkSession) -> DataFrame:
-    """The pairs (a, b, na, nb) that reach the threshold, exactly, as (a, b). b is the pivot side.
+def verify(pairs: DataFrame, texts: DataFrame, spark: SparkSession) -> DataFrame:
+    """The pairs (a, b, na, nb) that reach the threshold, exactly, as (a, b). b is the pivot side; texts: (cls, text).
 
     The classes of a crowded pivot are dealt to several salts, and the pivot's
     fragments go to each of them, so no task has more than about CROWD classes
@@ -390,8 +390,8 @@ def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, spark: SparkSessi
 
     sent = salted.select(F.col("a").alias("cls"), target(salt, salt + 1))
     home = salted.select(F.col("b").alias("cls"), target(F.lit(0), F.col("salts"))).distinct()
-    targets = sent.unionByName(home).groupBy("cls").agg(F.collect_set("to").alias("targets")).join(reps, "cls").select(*KEY, "cls", "targets")
-    fragments = rows.join(targets, KEY).select("text", "cls", "targets").transform(in_arrow, _fragments, "pivot long, frag int, salt long, role int, cls long, shingles binary")
+    targets = sent.unionByName(home).groupBy("cls").agg(F.collect_set("to").alias("targets"))
+    fragments = texts.join(targets.hint("merge"), "cls").select("text", "cls", "targets").transform(in_arrow, _fragments, "pivot long, frag int, salt long, role int, cls long, shingles binary")
     dealt = fragments.repartition(shuffle_partitions(spark), "pivot", "frag", "salt").sortWithinPartitions("pivot", "frag", "salt", "role", "cls")
     counts = dealt.transform(in_arrow, _overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
     # Different sets of under five shingles never reach the threshold.
@@ -432,13 +432,14 @@ def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
     row, column = row[keep], number[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.float64)
+    out = np.zeros((len(sets), len(sets)), np.float32)  # exact up to 2^24 shingles
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, STRIP):
         a, b = np.searchsorted(column, (at, at + STRIP))
         strip = np.zeros((len(sets), min(STRIP, int(column[b - 1]) + 1 - at)), np.float32)
         strip[row[a:b], column[a:b] - at] = 1
-        out += strip @ strip.T  # at most STRIP a cell, exact in single precision
-    return out.astype(np.int64)
+        for a in range(0, len(sets), 256):
+            out[a : a + 256] += strip[a : a + 256] @ strip.T
+    return out.astype(np.int32)
 
 
 LINKS = "a long, b long, na long, nb long, common long, links long"
@@ -482,15 +483,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from finish()
 
 
-def count_links(classes: DataFrame, rows: DataFrame, spark: SparkSession) -> DataFrame:
-    """classes: (cls, n, KEY, comp), all classes of components of several. Rows (cls, links): with how many other classes each one reaches the threshold."""
+def count_links(classes: DataFrame, texts: DataFrame, spark: SparkSession) -> DataFrame:
+    """classes: (cls, n, comp), all classes of components of several. Rows (cls, links): with how many other classes each one reaches the threshold."""
     sizes = classes.groupBy("comp").agg(F.count("*").alias("_k"), F.sum("n").alias("_sum"), F.max("n").alias("_max"))
     sizes = sizes.select("comp", "_k", F.greatest(F.ceil(F.col("_k") / CHUNK), F.ceil(F.col("_sum") / CHUNK_SHINGLES)).alias("_c"), F.ceil(F.col("_max") / PIECE).cast("int").alias("pieces"))
     sizes = sizes.select("comp", "_k", F.least("_c", "_k").alias("chunks"), "pieces")
     sized = stored(spark, classes.join(sizes, "comp"), "sized")
     two = sized.where("_k = 2").select("cls", F.lit(1).cast("long").alias("links"))
-    more = sized.where("_k > 2").select(*KEY, "cls", "comp", F.pmod(F.xxhash64("cls"), F.col("chunks")).alias("chunk"), "chunks", "pieces")
-    sent = rows.join(more, KEY).select("text", "cls", "comp", "chunk", "chunks", "pieces")
+    more = sized.where("_k > 2").select("cls", "comp", F.pmod(F.xxhash64("cls"), F.col("chunks")).alias("chunk"), "chunks", "pieces")
+    sent = texts.join(more.hint("merge"), "cls").select("text", "cls", "comp", "chunk", "chunks", "pieces")
     dealt = sent.transform(in_arrow, _dealt, "comp long, low long, high long, piece int, cls long, chunk long, n long, shingles binary")
     pieces = more.select("comp", "pieces").where("pieces > 1").distinct()
     dealt = dealt.join(F.broadcast(pieces), "comp", "left").select("comp", "low", "high", "piece", F.coalesce("pieces", F.lit(1)).alias("pieces"), "cls", "chunk", "n", "shingles")
@@ -522,17 +523,20 @@ def near_members(docs: DataFrame, spark: SparkSession, links: bool) -> DataFrame
     postings = texts.select("text").transform(in_arrow, _prefixes(shared, parts), "part int, blob binary")
     found = stored(spark, postings.repartition(shuffle_partitions(spark), "part").transform(in_arrow, _groups, FOUND), "found")
     first = found.where("kind = 0").select("a", "b", "na", "nb")
-    of_class = reps.select("cls", *KEY)
-    edges = stored(spark, verify(first, texts, of_class, spark), "links")
+    # Only classes that share a prefix shingle can link: their texts are taken out once, at every size by a shuffle.
+    met = found.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.col("members"))).alias("cls")).distinct()
+    candidates = texts.join(reps.join(met, "cls").select("cls", *KEY).hint("merge"), KEY).select("cls", "text")
+    candidates = stored(spark, candidates, "texts")
+    edges = stored(spark, verify(first, candidates, spark), "links")
     labels = components(edges, spark)
     second = stored(spark, still_apart(found, labels, spark).join(first.select("a", "b").distinct(), ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
-        edges = edges.unionByName(verify(second, texts, of_class, spark))
+        edges = edges.unionByName(verify(second, candidates, spark))
         labels = components(edges, spark)
     placed = reps.join(labels, F.col("cls") == F.col("node"), "left").select("cls", *KEY, "n", "rows", F.coalesce("comp", "cls").alias("comp"))
     if links:
         several = placed.join(labels.select(F.col("node").alias("cls")), "cls", "left_semi")
-        placed = placed.join(count_links(several, texts, spark), "cls", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
+        placed = placed.join(count_links(several.select("cls", "n", "comp"), candidates, spark), "cls", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
     placed = stored(spark, placed, "placed").select("cls", "rows", "comp", *(["links"] if links else []))
     own = rename(members.where("kind = 0").select(*KEY, "doc_id", "n", "cls", "chk")).select(*KEY, "doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
     return stored(spark, join_evenly(own, placed, "cls", "rows", KEY), "rows")
