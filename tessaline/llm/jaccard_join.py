@@ -8,9 +8,10 @@ shingle; knowing both sizes, the shared one even stands among the first
 |set| - overlap + 1 of each. A class of a shingle's group is compared first with
 the group's pivot, the class that has the shingle earliest (a text of which the
 others are edits has no rarer shingles than those they share); then, with the
-components that this gives, whatever two classes of a group are still apart. A comparison cuts the global order into fragments: partial
-overlaps are counted fragment by fragment in tasks of their own and summed per
-pair.
+components that this gives, whatever two classes of a group are still apart.
+Pairs whose parity sketches differ in too many bits are out. A comparison cuts
+the global order into fragments: partial overlaps are counted fragment by
+fragment in tasks of their own and summed per pair.
 
 Links join only classes of one component, so all links are those of its pairs.
 A component of two classes is one link; in a larger one every pair is
@@ -127,12 +128,29 @@ def renamed(cls: np.ndarray, check: np.ndarray, names: dict[tuple[int, int], int
     return np.array([names.get(pair, pair[0]) for pair in zip(cls.tolist(), check.tolist())], np.int64)
 
 
-MEMBERS = "kind int, __key long, __tag long, doc_id long, n long, cls long, chk long, block int, cells binary"
+SKETCH_WORDS = 16  # 64-bit words of a set's parity sketch
+
+
+def parities(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows of SKETCH_WORDS words: bit b tells whether an odd number of the set's shingles falls on b.
+
+    Sets that differ in d shingles have sketches that differ in d bits at most.
+    """
+    bits = 64 * SKETCH_WORDS
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
+    place, times = np.unique(row * bits + (mix(hashes ^ U64(0x2545F4914F6CDD1D)) % U64(bits)).astype(np.int64), return_counts=True)
+    place = place[times % 2 == 1]
+    out = np.zeros((len(offsets) - 1) * SKETCH_WORDS, np.uint64)
+    np.bitwise_or.at(out, place >> 6, U64(1) << (place & 63).astype(np.uint64))
+    return out.view(np.int64).reshape(-1, SKETCH_WORDS)
+
+
+MEMBERS = "kind int, __key long, __tag long, doc_id long, n long, cls long, chk long, sig array<long>, block int, cells binary"
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of kind 0: key, doc_id, n, cls, chk. Rows of kind 1: a block of this task's sketch."""
-    schema = pa.schema([("kind", pa.int32()), ("__key", pa.int64()), ("__tag", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("chk", pa.int64()), ("block", pa.int32()), ("cells", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("__key", pa.int64()), ("__tag", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("chk", pa.int64()), ("sig", pa.list_(pa.int64())), ("block", pa.int32()), ("cells", pa.binary())])
     sketch, held, count = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
     for batch in bounded(batches, "text"):
         h, offsets, checks = shingle_sets(*flat(batch.column(3)))
@@ -143,13 +161,16 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, count = [], 0
         m = batch.num_rows
         none = pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), *batch.columns[:3], pa.array(np.diff(offsets)), *(pa.array(x) for x in class_ids(h, offsets, checks)), *none], schema=schema)
+        # Sets of under five shingles link with none but their like, so they need no sketch.
+        long = np.diff(offsets) > 4
+        sig = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(long * SKETCH_WORDS))), pa.int32()), pa.array(parities(h, offsets)[long].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), *batch.columns[:3], pa.array(np.diff(offsets)), *(pa.array(x) for x in class_ids(h, offsets, checks)), sig, *none], schema=schema)
     if count:
         sketch += np.bincount(np.concatenate(held), minlength=len(sketch)).astype(np.uint32)
     if sketch.any():
         blocks = sketch.reshape(-1, 1 << BLOCK_BITS)
         m = len(blocks)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), *[pa.nulls(m, pa.int64())] * 6, pa.array(np.arange(m, dtype=np.int32)), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), *[pa.nulls(m, pa.int64())] * 6, pa.nulls(m, pa.list_(pa.int64())), pa.array(np.arange(m, dtype=np.int32)), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], schema=schema)
 
 
 def _sum_blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,6 +419,19 @@ def verify(pairs: DataFrame, texts: DataFrame, spark: SparkSession) -> DataFrame
     return pairs.join(counts, ["a", "b"]).where(F.greatest("na", "nb") > 4).where(F.col("common") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("common")) * NUMERATOR).select("a", "b")
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, spark: SparkSession) -> DataFrame:
+    """The pairs (a, b, na, nb) that may reach the threshold by the parity sketches of their sets; sets: (cls, sig). None that reaches it is lost."""
+    pairs = stored(spark, pairs.where(F.greatest("na", "nb") > 4).select("a", "b", "na", "nb").distinct(), "proposed")
+    own = {k: stored(spark, pairs.groupBy(k).agg(F.count("*").alias("_n")).join(sets.select(F.col("cls").alias(k), F.col("sig").alias(f"sig_{k}")), k), "sketches") for k in ("a", "b")}
+    for k, other in (("a", "b"), ("b", "a")):
+        pairs = join_evenly(pairs, own[k], k, "_n", [other])
+    total = F.col("na") + F.col("nb")
+    least = F.ceil(total * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    apart = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.coalesce(F.bit_count(x.bitwiseXOR(y)), F.lit(0))), F.lit(0), lambda s, x: s + x)
+    # A set of under five shingles has no sketch: nothing differs then.
+    return pairs.where(apart <= total - 2 * least).select("a", "b", "na", "nb")
+
+
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns text, cls, comp, chunk, chunks, pieces. Rows (comp, low, high, piece, cls, chunk, n, shingles): a piece of a class for each two chunks that meet."""
     schema = pa.schema([("comp", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("piece", pa.int32()), ("cls", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
@@ -508,8 +542,8 @@ def near_members(docs: DataFrame, spark: SparkSession, links: bool) -> DataFrame
     rows = with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     texts = rows.select(*KEY, "text")
     members = stored(spark, rows.select(*KEY, "doc_id", "text").transform(in_arrow, _members, MEMBERS), "members")
-    sets = members.where("kind = 0 and n > 0").groupBy("cls", "chk").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("n").alias("n"), F.count("*").alias("rows"))
-    sets = stored(spark, sets.select("cls", "chk", "rep.*", "n", "rows"), "sets")
+    sets = members.where("kind = 0 and n > 0").groupBy("cls", "chk").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("rows"))
+    sets = stored(spark, sets.select("cls", "chk", "rep.*", "n", "sig", "rows"), "sets")
     names = clashes(sets.select("cls", "chk"))
     if names:
         table_ = spark.createDataFrame([(*k, v) for k, v in names.items()], "cls long, chk long, _name long")
@@ -522,15 +556,17 @@ def near_members(docs: DataFrame, spark: SparkSession, links: bool) -> DataFrame
     parts = max(4 * shuffle_partitions(spark), int(total * 0.2 // 1_000_000))
     postings = texts.select("text").transform(in_arrow, _prefixes(shared, parts), "part int, blob binary")
     found = stored(spark, postings.repartition(shuffle_partitions(spark), "part").transform(in_arrow, _groups, FOUND), "found")
-    first = found.where("kind = 0").select("a", "b", "na", "nb")
-    # Only classes that share a prefix shingle can link: their texts are taken out once, at every size by a shuffle.
-    met = found.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.col("members"))).alias("cls")).distinct()
-    candidates = texts.join(reps.join(met, "cls").select("cls", *KEY).hint("merge"), KEY).select("cls", "text")
-    candidates = stored(spark, candidates, "texts")
+    first = stored(spark, plausible(found.where("kind = 0"), reps, spark), "first")
+    # The texts of classes that may link are taken out once, at every size by a shuffle.
+    met = first.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    candidates = stored(spark, texts.join(reps.join(met, "cls").select("cls", *KEY).hint("merge"), KEY).select("cls", "text"), "texts")
     edges = stored(spark, verify(first, candidates, spark), "links")
     labels = components(edges, spark)
-    second = stored(spark, still_apart(found, labels, spark).join(first.select("a", "b").distinct(), ["a", "b"], "left_anti"), "second")
+    second = plausible(still_apart(found, labels, spark).join(first.select("a", "b"), ["a", "b"], "left_anti"), reps, spark)
+    second = stored(spark, second, "second")
     if not second.isEmpty():
+        new = second.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(met, "cls", "left_anti")
+        candidates = candidates.unionByName(stored(spark, texts.join(reps.join(new, "cls").select("cls", *KEY), KEY).select("cls", "text"), "texts"))
         edges = edges.unionByName(verify(second, candidates, spark))
         labels = components(edges, spark)
     placed = reps.join(labels, F.col("cls") == F.col("node"), "left").select("cls", *KEY, "n", "rows", F.coalesce("comp", "cls").alias("comp"))

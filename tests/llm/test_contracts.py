@@ -158,6 +158,27 @@ def test_jaccard_join_of_words_that_collide_in_powers_of_two(spark):
     assert one[0] != one[1] and two[0] == two[1]
 
 
+def test_jaccard_join_of_the_smallest_sets(spark):
+    from tessaline.llm.jaccard_join import jaccard_join
+
+    words = [f"w{k}" for k in range(12)]
+    out = [(k * 20 + n, " ".join(f"{x}{k}" for x in words[:n])) for k in range(3) for n in range(1, 12)]
+    got = jaccard_join(spark.createDataFrame(out, "doc_id long, text string"), spark, links=False)
+    assert rows(got, "doc_id", "n_shingles", "component_id") == brute.near(out)
+
+
+def test_parity_sketches_bound_the_difference():
+    from tessaline.llm.jaccard_join import parities
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+    sets = [base[: 5 + 40 * k] for k in range(20)] + [base[10 * k : 10 * k + 300] for k in range(20)] + [base[:0]]
+    sig = parities(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert sum(bin(int(x)).count("1") for x in (sig[i] ^ sig[j]).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
 def test_field_hashes_are_of_the_content():
     from tessaline.llm import common
 
