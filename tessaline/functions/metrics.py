@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.moments import Moments
 from ..plans.select import r2, ridge
+from ..plans.stats import running
 
 
 def regression(y: str, p: str) -> list[Column]:
@@ -26,17 +27,11 @@ def classification(y: str, p: str, clip: float = 1e-15) -> list[Column]:
 
 
 def roc_auc(df: DataFrame, y: str, p: str) -> DataFrame:
-    """One row, auc: over the distinct scores, so ties count half. Scores with their counts are aggregated before the running sum."""
-    per = df.groupBy(F.col(p).alias("_p")).agg(F.sum(F.col(y).cast("double")).alias("_pos"), F.sum(1 - F.col(y).cast("double")).alias("_neg"))
-    dealt = per.repartitionByRange("_p").withColumn("_part", F.spark_partition_id())
-    before, run = {}, 0.0
-    for part, neg in sorted((r[0], r[1]) for r in dealt.groupBy("_part").agg(F.sum("_neg")).collect()):
-        before[part], run = run, run + neg
-    if not before:
-        return df.select(F.lit(None).cast("double").alias("auc")).limit(0)
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_part"))
-    below = offset + F.coalesce(F.sum("_neg").over(W.partitionBy("_part").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return dealt.select("_pos", "_neg", below.alias("_below")).agg((F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)) / F.nullif(F.sum("_pos") * F.sum("_neg"), F.lit(0.0))).alias("auc"))
+    """One row, auc: over the distinct scores, so ties count half. Null without rows of both labels. Scores with their counts are aggregated before the running sum."""
+    per = df.groupBy(F.col(p).cast("double").alias("_p")).agg(F.sum(F.col(y).cast("double")).alias("_pos"), F.sum(1 - F.col(y).cast("double")).alias("_neg"))
+    below, _ = running(per, "_p", ["_neg"])
+    pairs = F.sum("_pos") * F.sum("_neg")
+    return below.agg((F.sum(F.col("_pos") * (F.col("below__neg") + F.col("_neg") / 2)) / F.nullif(pairs, F.lit(0.0))).alias("auc"))
 
 
 def bucket(keys: Sequence[str], seed: int, buckets: int = 1000) -> Column:

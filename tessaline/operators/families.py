@@ -111,8 +111,9 @@ def carriers(df: DataFrame, features: Sequence[Feature], config: Config, space:
     exclude, numeric = set(exclude), [(k, f) for k, f in enumerate(features) if f.kind == "numeric" and (freqs is None or freqs.get(k))]
     own = [f for _, f in numeric]
     moved = own if space == "linear" else [derive(fx.space(space), [f], f"{space}[{f.label}]", "space") for f in own]
-    stats = column_stats(df, moved, config.gauss_center_pcts)
-    plain = column_stats(df, own, config.step_pcts)
+    levels = [] if squares else sorted({*config.gauss_center_pcts, *config.step_pcts})
+    stats = column_stats(df, moved if space == "linear" else [*moved, *own], levels)
+    stats, plain = stats[: len(own)], stats[-len(own) :] if own else []
     scale, sign = fx.num(config.carrier_phase_scale), fx.phase_label(config.carrier_phase_scale)
     out: list[Feature] = []
     for (k, f), x, s, p in zip(numeric, moved, stats, plain):
@@ -146,8 +147,12 @@ def carriers(df: DataFrame, features: Sequence[Feature], config: Config, space:
 def modulate(df: DataFrame, carriers_: Sequence[Feature], modulators: Sequence[Feature], config: Config, families: Sequence[str], exclude: Iterable[str] = (), skip_self: bool = False, prefix: str = "") -> list[Feature]:
     """Kernels of families over carrier x modulator. Carriers must be numeric; both need a range."""
     exclude = set(exclude)
-    cs = column_stats(df, carriers_, config.wm_center_pcts) if carriers_ else []
-    ms = column_stats(df, modulators) if modulators else []
+    quantiles = any(f in families for f in ("fm_pulse", "wm_center", "wm_width"))
+    cs = column_stats(df, carriers_, config.wm_center_pcts if quantiles else ()) if carriers_ else []
+    known = {f.key: s for f, s in zip(carriers_, cs)}
+    rest = [f for f in modulators if f.key not in known]
+    known |= {f.key: s for f, s in zip(rest, column_stats(df, rest))}
+    ms = [known[f.key] for f in modulators]
     freqs = config.carrier_freqs if not isinstance(config.carrier_freqs, str) else Config().carrier_freqs
     grids: dict[str, list[tuple[str, dict]]] = {
         "fm_sin": [(f"FM_sin_k{k:g}_d{d:g}", {"k": k, "d": d}) for k in freqs for d in config.fm_depths],

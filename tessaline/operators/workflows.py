@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
+from ..plans.dedup import SAMPLE_ROWS
 from ..plans.expr import Feature, project
 from ..plans.select import History
 from . import families as fam
@@ -39,27 +40,30 @@ def discover_carrier_space(pipe: Pipeline, fs: FeatureSet, select: int = 15, met
 
 
 def auto_run(pipe: Pipeline, select: int = 20, max_stage: int = 5, method: str = "omp", early_stop_marginal: float = 0.003, patience: int = 2) -> FeatureSet:
-    """raw, then pairs, carriers and modulations of what was chosen so far, while they still gain."""
+    """raw, then pairs, carriers and modulations of what was chosen so far, while they still gain.
+
+    A memory budget that a later step would exceed shortens the run; a step
+    that exceeds a budget all the same is tried once more with fewer raw
+    features in the place of all (for modulations as the carriers).
+    """
     if method == "correlation" or pipe.classification:
         raise ValueError("auto_run needs an R² method and a regression target")
+    if pipe.max_memory is not None:
+        max_stage = min(max_stage, pipe.predict_pipeline_memory(max_stage, select)["recommended_max_stage"])
     s0 = pipe.raw()
-    pool, result, best, dull = s0, None, 0.0, 0
-    steps: list[Callable[[FeatureSet], FeatureSet]] = [
-        lambda cur: pipe.am(cur), lambda cur: pipe.carriers(s0), lambda cur: pipe.fm(s0, cur), lambda cur: pipe.fm_nonsmooth(s0, cur), lambda cur: pipe.wm(s0, cur)
+    pool, fewer, best, dull = s0, None, 0.0, 0
+    steps: list[Callable[[FeatureSet, FeatureSet], FeatureSet]] = [
+        lambda own, _: pipe.am(own), lambda own, _: pipe.carriers(own), lambda own, cur: pipe.fm(own, cur), lambda own, cur: pipe.fm_nonsmooth(own, cur), lambda own, cur: pipe.wm(own, cur)
     ]
-    current = s0
-    for k, step in enumerate(steps[:max_stage]):
+    result = None
+    for k, step in enumerate(steps[: max(max_stage, 0)]):
         try:
-            new = step(current)
+            new = step(s0, result)
         except BUDGET:
-            current = pipe.select(s0, min(3 * select, len(s0)), method)
-            try:
-                new = step(current)
-            except BUDGET as e:
-                warnings.warn(f"auto_run stops: {e}", stacklevel=2)
-                break
+            fewer = fewer if fewer is not None else pipe.select(s0, min(3 * select, len(s0)), method)
+            new = step(fewer, result)
         pool = pipe.fuse(pool, new)
-        result = current = pipe.select(pool, select, method)
+        result = pipe.select(pool, select, method)
         gain, best = pipe.stages[-1].final_r2 - best, pipe.stages[-1].final_r2
         dull = dull + 1 if gain < early_stop_marginal else 0
         if k < 4 and dull >= patience:
@@ -77,6 +81,8 @@ def thin_grid(grid: Sequence, level: int) -> list:
 
 def deepen(pipe: Pipeline, base: FeatureSet, select: int = 25, max_depth: int = 2, n_carry: int = 15, decay_stop: float = 0.5, marginal_carry_threshold: float = 0.001, early_stop_marginal: float = 0.003, method: str = "omp") -> FeatureSet:
     """Modulate the best features by one another, level by level, while the gain does not decay."""
+    if method == "correlation" or pipe.classification:
+        raise ValueError("deepen needs an R² method and a regression target")
     current = pipe.select(base, min(select, len(base)), method)
     best, last_gain = pipe.stages[-1].final_r2, None
     for depth in range(2, max_depth + 2):
@@ -128,13 +134,26 @@ class StageResult:
 
 @dataclass
 class FeaturePool:
-    """Columns that are still free; each captured pass takes those that its features come from."""
+    """Columns that are still free; each captured pass takes those that its features come from. Under min_cols columns a pool is exhausted."""
 
     df: DataFrame
     target: str
     columns: list[str]
     options: dict = field(default_factory=dict)
     passes: list[StageResult] = field(default_factory=list)
+    min_cols: int = 3
+
+    def __post_init__(self):
+        if isinstance(self.min_cols, bool) or not isinstance(self.min_cols, int) or self.min_cols < 1:
+            raise ValueError("min_cols must be a positive integer")
+
+    @property
+    def n_active(self) -> int:
+        return len(self.columns)
+
+    @property
+    def active_names(self) -> list[str]:
+        return list(self.columns)
 
     def build(self) -> Pipeline:
         return Pipeline(self.df, self.target, self.columns, {c: "numeric" for c in self.columns}, **({"max_candidates": None} | self.options))
@@ -150,7 +169,7 @@ class FeaturePool:
 
     @property
     def exhausted(self) -> bool:
-        return not self.columns
+        return len(self.columns) < self.min_cols
 
 
 @dataclass
@@ -164,6 +183,18 @@ class MultiPassResult:
             raise ValueError("no pass")
         return cls(list(passes), list(unused))
 
+    @property
+    def pass_names(self) -> list[list[str]]:
+        return [list(p.features.names) for p in self.passes]
+
+    @property
+    def unused_names(self) -> list[str]:
+        return list(self.unused)
+
+    @property
+    def used_base_vars(self) -> set[str]:
+        return set().union(*(p.sources for p in self.passes))
+
     @property
     def features(self) -> tuple[Feature, ...]:
         return tuple(f for p in self.passes for f in p.features)
@@ -175,9 +206,11 @@ class MultiPassResult:
         return project(df, self.features, [*keep, *self.unused])
 
 
-def multi_pass(df: DataFrame, target: str, columns: Sequence[str], recipe: Callable[[Pipeline], FeatureSet], k: int = 3, **options) -> MultiPassResult:
-    """Up to k pipelines, each over the columns that no earlier one has used. recipe: Pipeline -> FeatureSet of its last stage."""
-    pool = FeaturePool(df, target, list(columns), options)
+def multi_pass(df: DataFrame, target: str, columns: Sequence[str], recipe: Callable[[Pipeline], FeatureSet], k: int = 3, min_cols: int = 3, **options) -> MultiPassResult:
+    """Up to k pipelines, each over the columns that no earlier one has used, at least min_cols. recipe: Pipeline -> FeatureSet of its last stage."""
+    if isinstance(k, bool) or not isinstance(k, int) or k < 1:
+        raise ValueError("k must be a positive number of passes")
+    pool = FeaturePool(df, target, list(columns), options, min_cols=min_cols)
     for _ in range(k):
         if pool.exhausted:
             break
@@ -190,53 +223,105 @@ def multi_pass(df: DataFrame, target: str, columns: Sequence[str], recipe: Calla
     return MultiPassResult.from_passes(pool.passes, pool.columns)
 
 
-def recipes(select: int = 10, method: str = "omp") -> dict[str, Callable[[Pipeline], FeatureSet]]:
-    """Named compositions."""
+Recipe = Callable[[Pipeline], FeatureSet]
 
-    def std(p):
-        s0 = p.raw()
-        return p.select(p.fuse(s0, p.am(s0)), select, method)
 
-    def deep(p):
-        s0 = p.raw()
-        s1 = p.select(p.fuse(s0, p.am(s0)), 2 * select, method)
-        return p.select(p.fuse(s1, p.am(s1)), select, method)
+def _wide(select: int, raw_k: int, made: Callable[[Pipeline, FeatureSet], Sequence[FeatureSet]], then: Callable[[Pipeline, FeatureSet], FeatureSet] | None = None) -> Recipe:
+    """raw, what is made of it, and a selection from all of these."""
 
-    def carrier_first(p):
-        s0 = p.raw()
-        s1 = p.select(p.fuse(s0, p.carriers(s0)), 2 * select, method)
-        return p.select(p.fuse(s1, p.am(s1)), select, method)
+    def run(p: Pipeline) -> FeatureSet:
+        base = p.raw(raw_k)
+        out = p.select(p.fuse(base, *made(p, base)), select)
+        return then(p, out) if then else out
 
-    def explore(p):
-        s0 = p.raw()
-        return p.select(p.fuse(s0, p.am(s0), p.carriers(s0)), select, method)
+    return run
 
-    def explore_deep(p):
-        s1 = explore(p)
-        return p.select(p.fuse(s1, p.am(s1)), select, method)
 
-    def tower(p):
-        s0 = p.raw(select=select, method=method)
-        s1 = p.select(p.fuse(s0, p.carriers(s0)), select, method)
-        return p.select(p.fuse(s1, p.fm(s0, s1)), select, method)
+def recipe_light(select: int = 15) -> Recipe:
+    return lambda p: p.raw(select)
 
-    def tower_wm(p):
-        s1 = tower(p)
-        return p.select(p.fuse(s1, p.wm(s1, s1)), select, method)
 
-    def am(p):
-        return p.am(p.raw(select=2 * select, method=method), select=select, method=method)
+def recipe_std(select: int = 15, raw_k: int = 15, car_k: int = 15, fm_k: int = 15) -> Recipe:
+    """Carriers of raw features, and raw features modulated by one another."""
+    return _wide(select, raw_k, lambda p, base: (p.carriers(base, car_k), p.fm(base, base, fm_k)))
 
-    return {"light": lambda p: p.raw(select=select, method=method), "std": std, "am": am, "deep": deep, "carrier_first": carrier_first, "explore": explore, "explore_deep": explore_deep, "tower": tower, "tower_wm": tower_wm}
 
+def recipe_am(select: int = 15, raw_k: int = 15, am_k: int = 15) -> Recipe:
+    return _wide(select, raw_k, lambda p, base: (p.am(base, select=am_k),))
 
-def apply_stage(df: DataFrame, step: str, columns: Sequence[str], types: dict[str, str] | None = None, config: Config | None = None, include_input: bool = False, feature_space: str = "linear", least_sd: float = 0.005, threshold: float = 0.95, max_complexity: int | None = None) -> list[Feature]:
-    """The candidates of one step without a target: made, pruned of constants and duplicates, limited in complexity."""
-    import numpy as np
 
-    from ..plans import dedup
+def _with_carriers(p: Pipeline, base: FeatureSet, car_k: int, fm_k: int) -> tuple[FeatureSet, FeatureSet]:
+    """Carriers, and the carriers modulated by the raw features."""
+    waves = p.carriers(base, car_k)
+    return waves, p.fm(waves, base, fm_k)
+
+
+def recipe_deep(select: int = 15, raw_k: int = 15, car_k: int = 15, fm_k: int = 15) -> Recipe:
+    return _wide(select, raw_k, lambda p, base: _with_carriers(p, base, car_k, fm_k))
+
+
+def recipe_carrier_first(select: int = 20, car_k: int = 15, am_k: int = 15, fm_k: int = 15, fm_thin: int = 8) -> Recipe:
+    """Carriers of all raw features; pairs of carriers, and the best carriers modulated by one another."""
+
+    def run(p: Pipeline) -> FeatureSet:
+        waves = p.carriers(p.raw(), car_k)
+        pairs, few = p.am(waves, select=am_k), p.select(waves, fm_thin)
+        return p.select(p.fuse(waves, pairs, p.fm(few, few, fm_k)), select)
+
+    return run
+
+
+def recipe_explore(select: int = 15, raw_k: int = 15, am_k: int = 10, car_k: int = 10, fm_k: int = 10) -> Recipe:
+    return _wide(select, raw_k, lambda p, base: (p.am(base, select=am_k), *_with_carriers(p, base, car_k, fm_k)))
+
+
+def recipe_explore_deep(select: int = 15, raw_k: int = 15, am_k: int = 10, car_k: int = 10, fm_k: int = 10, deepen_depth: int = 1, deepen_carry: int = 10) -> Recipe:
+    deeper = lambda p, out: deepen(p, out, select, deepen_depth, deepen_carry)
+    return _wide(select, raw_k, lambda p, base: (p.am(base, select=am_k), *_with_carriers(p, base, car_k, fm_k)), deeper)
+
+
+def recipe_tower(raw_k: int = 5, car_k: int = 3, fm_k: int = 1) -> Recipe:
+    """One feature of depth three: raw, carriers, modulated carriers."""
+
+    def run(p: Pipeline) -> FeatureSet:
+        base = p.raw(raw_k)
+        return p.fm(p.carriers(base, car_k), base, fm_k)
+
+    return run
+
+
+def recipe_tower_wm(raw_k: int = 5, car_k: int = 3, fm_k: int = 3, wm_k: int = 1) -> Recipe:
+    """One feature of depth four: a window over the modulated carriers."""
+
+    def run(p: Pipeline) -> FeatureSet:
+        base = p.raw(raw_k)
+        return p.wm(p.fm(p.carriers(base, car_k), base, fm_k), base, wm_k)
+
+    return run
+
+
+def recipes() -> dict[str, Recipe]:
+    """The recipes with their default counts, by name."""
+    return {f.__name__.removeprefix("recipe_"): f() for f in (recipe_light, recipe_std, recipe_am, recipe_deep, recipe_carrier_first, recipe_explore, recipe_explore_deep, recipe_tower, recipe_tower_wm)}
+
+
+def recipe_grid(build: Callable[[], Pipeline], named: dict[str, Recipe], methods: Sequence[str] = ("greedy", "omp", "correlation")) -> list[dict]:
+    """Each recipe with each method of selection, on a fresh pipeline: recipe, method, selected, r2 (None where the method has none), seconds, names."""
+    out = []
+    for name, recipe in named.items():
+        for method in methods:
+            pipe, began = build(), time.time()
+            pipe.default_method = method
+            chosen = recipe(pipe)
+            last = pipe.stages[-1]
+            out.append({"recipe": name, "method": method, "selected": len(chosen), "r2": last.final_r2 if last.history.score_kind == "r2" else None, "seconds": time.time() - began, "names": list(chosen.names)})
+    return out
+
+
+def apply_stage(df: DataFrame, step: str, columns: Sequence[str], types: dict[str, str] | None = None, config: Config | None = None, include_input: bool = False, feature_space: str = "linear", least_sd: float = 0.005, threshold: float = 0.95, max_complexity: int | None = None, dedup_rows: int = SAMPLE_ROWS) -> list[Feature]:
+    """The candidates of one step without a target: made, pruned of constants and duplicates, limited in complexity."""
     from ..plans.expr import raw
-    from ..plans.moments import collect_moments
+    from ..plans.prune import Sample, prune
     from ..plans.stats import infer_types
 
     config, types = config or Config(), types or infer_types(df, columns)
@@ -247,8 +332,7 @@ def apply_stage(df: DataFrame, step: str, columns: Sequence[str], types: dict[st
     made = [replace(f, family="input") for f in own] * include_input + make[step]()
     made = list({f.key: f for f in reversed(made)}.values())[::-1]
     finite = [f if not f.children or f.values else replace(f, template=fx.finite(f"({f.template})")) for f in made]
-    m = collect_moments(df, finite, [F.lit(0.0)])[0]
-    live = [k for k in dedup.constant_filter(m, least_sd) if k < len(finite)]
-    if threshold and live:
-        live = [live[k] for k in dedup.deduplicate(m.take(live), np.array([finite[k].complexity for k in live]), threshold)]
+    if not finite:
+        return []
+    _, live = prune(df, Sample(df, columns, (), dedup_rows, df.count()), finite, least_sd, threshold)
     return [finite[k] for k in live if max_complexity is None or finite[k].complexity <= max_complexity]

@@ -10,8 +10,10 @@ from .moments import Moments
 LEAST_SD, THRESHOLD, LARGE_POOL = 0.005, 0.95, 3000
 
 
-def constant_filter(m: Moments, threshold: float = LEAST_SD) -> list[int]:
-    return np.flatnonzero(m.sd > threshold).tolist()
+#: Rows that correlations of candidates are taken from (a fixed value); a table of no more rows counts whole.
+SAMPLE_ROWS = 5000
+#: A sample spread over so many times LEAST_SD is not checked on all rows.
+SURE = 10
 
 
 def complete_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
@@ -39,9 +41,16 @@ def complete_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
     return label
 
 
-def correlated_components(corr: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels of the connected components of the pairs correlated over the threshold."""
-    label = np.arange(len(corr))
+def standardised(x: np.ndarray) -> np.ndarray:
+    """Columns centred and of length 1, so that products are correlations; constant ones are 0."""
+    c = x - x.mean(axis=0)
+    size = np.sqrt(np.einsum("nd,nd->d", c, c))
+    return c / np.where(size > 1e-150, size, np.inf)
+
+
+def correlated_components(z: np.ndarray, threshold: float, block: int = 512) -> np.ndarray:
+    """Labels of the connected components of the pairs of standardised columns correlated over the threshold."""
+    label = np.arange(z.shape[1])
 
     def find(i: int) -> int:
         while label[i] != i:
@@ -49,28 +58,28 @@ def correlated_components(corr: np.ndarray, threshold: float) -> np.ndarray:
             i = label[i]
         return i
 
-    for i in range(len(corr)):
-        for j in np.flatnonzero(corr[i, i + 1 :] > threshold) + i + 1:
-            a, b = find(i), find(int(j))
-            label[max(a, b)] = min(a, b)
-    return np.array([find(i) for i in range(len(corr))])
+    for at in range(0, z.shape[1], block):
+        over = np.abs(z[:, at : at + block].T @ z[:, at:]) > threshold
+        for i in range(len(over)):
+            for j in np.flatnonzero(over[i, i + 1 :]) + i + 1:
+                a, b = find(at + i), find(at + int(j))
+                label[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in range(len(label))])
 
 
-def deduplicate(m: Moments, complexity: np.ndarray, threshold: float = THRESHOLD, method: str = "auto", representative: str = "variance", target: int | None = None) -> list[int]:
-    """The columns that stay, one per cluster of mutually correlated ones, in their order.
+def deduplicate(x: np.ndarray, complexity: np.ndarray, threshold: float = THRESHOLD, method: str = "auto", representative: str = "variance", target: np.ndarray | None = None, large: int = LARGE_POOL) -> list[int]:
+    """The columns of x (rows of a sample) that stay, one per cluster of mutually correlated ones, in their order.
 
-    The last columns of m may be targets: complexity has one entry per
-    candidate. All rows count, however many there are.
+    Under `large` columns clusters are by complete linkage, else components.
     """
-    d = len(complexity)
     if method not in ("auto", "hierarchical", "union-find"):
         raise ValueError(f"unknown method: {method}")
-    corr = m.correlation()
-    c, sd = np.abs(corr[:d, :d]), m.sd[:d]
-    if method == "hierarchical" or (method == "auto" and d < LARGE_POOL):
-        label = complete_linkage(1 - c, 1 - threshold)
-    else:
-        label = correlated_components(c, threshold)
+    z, d = standardised(x), x.shape[1]
+    linkage = method == "hierarchical" or (method == "auto" and d < large)
+    c = np.abs(np.clip(z.T @ z, -1, 1)) if linkage else None
+    label = complete_linkage(1 - c, 1 - threshold) if linkage else correlated_components(z, threshold)
+    sd = x.std(axis=0)
+    relevance = None if target is None else np.abs(standardised(target[:, None])[:, 0] @ z)
 
     def pick(members: np.ndarray) -> int:
         if representative == "variance":
@@ -78,19 +87,19 @@ def deduplicate(m: Moments, complexity: np.ndarray, threshold: float = THRESHOLD
         if representative == "complexity":
             return int(min(members, key=lambda k: (complexity[k], -sd[k], k)))
         if representative == "correlation":
-            if target is None:
+            if relevance is None:
                 raise ValueError("representative='correlation' needs a target")
-            return int(members[np.argmax(np.abs(corr[members, target]))])
+            return int(members[np.argmax(relevance[members])])
         raise ValueError(f"unknown representative: {representative}")
 
-    keep = set()
-    for k in np.unique(label):
-        members = np.flatnonzero(label == k)
+    keep, order = set(), np.argsort(label, kind="stable")
+    for members in np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if d else []:
         chosen = pick(members)
         keep.add(chosen)
-        if method == "union-find" or (method == "auto" and d >= LARGE_POOL):
+        if not linkage and 1 < len(members) <= 20:
             # Chained members that are not correlated with the representative themselves stay.
-            keep.update(int(x) for x in members if len(members) <= 20 and x != chosen and c[chosen, x] < threshold)
+            near = np.abs(z[:, chosen] @ z[:, members])
+            keep.update(int(k) for k, r in zip(members, near) if k != chosen and r < threshold)
     return sorted(keep)
 
 

@@ -37,7 +37,7 @@ class Feature:
     def key(self) -> int:
         cached = self.__dict__.get("_key")
         if cached is None:
-            cached = hash((self.template, tuple(c.key for c in self.children), self.values))
+            cached = hash((self.template, tuple(c.key for c in self.children), self.values, self.counts))
             object.__setattr__(self, "_key", cached)
         return cached
 
@@ -149,7 +149,7 @@ def project(df: DataFrame, features: Sequence[Feature], keep: Sequence[str] = ()
     return wide.select(*[F.col(f"`{k}`") for k in keep], *out)
 
 
-def to_json(features: Sequence[Feature]) -> str:
+def to_json(features: Iterable[Feature]) -> str:
     """The features and all they need, shared nodes once."""
     index: dict[int, int] = {}
     nodes: list[dict] = []

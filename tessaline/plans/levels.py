@@ -108,7 +108,7 @@ def collect_levels(counts: DataFrame) -> Levels:
 def below(path: str, digest: str, x: np.ndarray) -> np.ndarray:
     """The reference rows below each x, where -1 stands for all of them. Runs on executors."""
     if digest not in _MAPPED:
-        own = SparkFiles.get(os.path.basename(path))
+        own = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
         _MAPPED[digest] = np.memmap(own, "<f8", "r").reshape(-1, 2)
     rows = _MAPPED[digest]
     at = np.searchsorted(rows[:, 0], x, side="left")

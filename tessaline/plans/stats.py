@@ -8,15 +8,20 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .expr import Feature, interpreted, with_features
+from .expr import Feature, raw, with_features
 from .levels import Levels, collect_levels
+from .moments import spreads
+from .order import distinct_up_to, percentiles, value_parts
 
 #: Distinct values up to which a column is boolean, and over which it is numeric.
 BOOL_LEVELS, NUMERIC_LEVELS = 2, 20
+#: Fixed values of warn_rank_features: fewest rows, least share of distinct values, least mean gap, greatest variation of gaps.
+LEAST_RANKED, DISTINCT_SHARE, TINY_GAP, EVEN = 30, 0.90, 1e-12, 0.05
 #: Most distinct reference values that a rank feature carries in the plan (16 bytes each); more go to the executors as a file, with the same ranks.
-RANK_LEVELS = 1_000_000
+RANK_LEVELS = 10_000
 
 
 @dataclass
@@ -36,23 +41,12 @@ def column_stats(df: DataFrame, features: Sequence[Feature], levels: Sequence[fl
     """Min, max, population sd, mean and linear-interpolated percentiles (levels in percent) of each feature."""
     if not features:
         return []
-    wide, names = with_features(df, features)
+    n, (low, high, mean, sd) = spreads(df, features)
+    if not n:
+        raise ValueError("no rows to take statistics from")
     levels = sorted(set(levels))
-    aggs = []
-    for n in names:
-        aggs += [F.min(n), F.max(n), F.stddev_pop(n), F.avg(n)]
-        if levels:
-            aggs.append(F.percentile(n, F.array(*[F.lit(q / 100) for q in levels])))
-    with interpreted(df.sparkSession, len(aggs)):
-        row = list(wide.agg(*aggs).first())
-    step = 4 + bool(levels)
-    out = []
-    for k in range(len(names)):
-        part = row[k * step : (k + 1) * step]
-        if part[0] is None:
-            raise ValueError("no rows to take statistics from")
-        out.append(Stats(*map(float, part[:4][:2]), float(part[2]), float(part[3]), dict(zip(levels, part[4])) if levels else {}))
-    return out
+    found = percentiles(df, features, levels, n, list(zip(low, high))) if levels else [{}] * len(features)
+    return [Stats(float(low[k]), float(high[k]), float(sd[k]), float(mean[k]), found[k]) for k in range(len(features))]
 
 
 def check_finite(df: DataFrame, columns: Sequence[str]) -> None:
@@ -65,7 +59,9 @@ def check_finite(df: DataFrame, columns: Sequence[str]) -> None:
 
 def infer_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """bool up to 2 distinct values, numeric over 20; those between take the majority type of the others."""
-    counts = df.agg(*[F.count_distinct(F.col(f"`{c}`")) for c in columns]).first()
+    if not columns:
+        return {}
+    counts = distinct_up_to(df, [raw(c) for c in columns], NUMERIC_LEVELS)
     out = {c: "bool" if n <= BOOL_LEVELS else "numeric" if n > NUMERIC_LEVELS else "" for c, n in zip(columns, counts)}
     clear = [t for t in out.values() if t]
     majority = min(sorted(set(clear)), key=lambda t: -clear.count(t)) if clear else "numeric"
@@ -79,28 +75,56 @@ def distinct_counts(df: DataFrame, feature: Feature) -> tuple[tuple[float, ...]
     """The distinct values in order and how often each occurs; over RANK_LEVELS of them as Levels, which hold both."""
     wide, (name,) = with_features(df, [feature])
     counts = wide.groupBy(name).count()
-    rows = counts.limit(RANK_LEVELS + 1).collect()
-    if len(rows) > RANK_LEVELS:
-        del rows
+    rows = counts.select(F.col(name).cast("double"), F.col("count").cast("double")).limit(RANK_LEVELS + 1).toArrow()
+    if rows.num_rows > RANK_LEVELS:
         return collect_levels(counts), ()
-    order = np.argsort([r[0] for r in rows])
-    return tuple(float(rows[k][0]) for k in order), tuple(float(rows[k][1]) for k in order)
+    x, n = (rows.column(k).to_numpy() for k in (0, 1))
+    order = np.argsort(x)
+    return tuple(x[order].tolist()), tuple(n[order].tolist())
 
 
-def empirical_rank(df: DataFrame, reference: DataFrame, column: str, alias: str) -> DataFrame:
-    """df with the share of reference values below its own, by one range-sorted window: for references too large to broadcast.
+def running(per: DataFrame, value: str, weights: Sequence[str]) -> tuple[DataFrame, dict[str, float]]:
+    """per (each value once) with, for each weight, the column below_<weight>: its sum over smaller values; and the totals.
 
-    The running count is taken over partition totals and then inside range
-    partitions, so no single task sorts all rows.
+    The values are cut into ranges whose sums come to the driver; a running sum
+    stays within a range. A value's range follows from the value alone, so the
+    offsets hold in whatever way and however often the plan runs.
     """
-    both = reference.select(F.col(column).cast("double").alias("_x"), F.lit(1).alias("_r")).groupBy("_x").agg(F.count("*").alias("_n"))
-    dealt = both.repartitionByRange("_x").sortWithinPartitions("_x").withColumn("_p", F.spark_partition_id())
-    totals = {r[0]: r[1] for r in dealt.groupBy("_p").agg(F.sum("_n")).collect()}
-    before, run = {}, 0
-    for p in sorted(totals):
-        before[p], run = run, run + totals[p]
-    from pyspark.sql import Window as W
-
-    offsets = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    below = dealt.withColumn("_b", F.element_at(offsets, F.col("_p")) + F.coalesce(F.sum("_n").over(W.partitionBy("_p").orderBy("_x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return df.join(below.select("_x", "_b"), F.col(column).cast("double") == F.col("_x"), "left").withColumn(alias, F.col("_b") / F.lit(float(run))).drop("_x", "_b")
+    parted = per.withColumn("__part", value_parts(per, value))
+    sums = parted.groupBy("__part").agg(*[F.sum(w).cast("double") for w in weights]).collect()
+    before, run = {}, [0.0] * len(weights)
+    for part, *own in sorted(tuple(r) for r in sums):
+        before[part] = list(run)
+        run = [a + (b or 0.0) for a, b in zip(run, own)]
+    inside = W.partitionBy("__part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    for k, w in enumerate(weights):
+        offset = F.element_at(F.create_map(*[F.lit(x) for part, own in before.items() for x in (part, own[k])]), F.col("__part")) if before else F.lit(0.0)
+        parted = parted.withColumn(f"below_{w}", offset + F.coalesce(F.sum(w).over(inside).cast("double"), F.lit(0.0)))
+    return parted.drop("__part"), dict(zip(weights, run))
+
+
+def empirical_rank(df: DataFrame, reference: DataFrame, column: str, alias: str) -> DataFrame:
+    """df with the share of reference values below its own; a value that the reference lacks gives null."""
+    per = reference.select(F.col(column).cast("double").alias("__x")).groupBy("__x").agg(F.count("*").alias("__n"))
+    below, total = running(per, "__x", ["__n"])
+    return df.join(below.select("__x", "below___n"), F.col(column).cast("double") == F.col("__x"), "left").withColumn(alias, F.col("below___n") / F.lit(total["__n"] or 1.0)).drop("__x", "below___n")
+
+
+def warn_rank_features(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns that look like ranks or percentiles, with a warning: nearly all values distinct and evenly spaced. They leak if they were made on training and test rows together."""
+    n, suspect = df.count(), []
+    for c in columns if n >= LEAST_RANKED else ():
+        x = df.select(F.col(f"`{c}`").cast("double").alias("__x")).groupBy("__x").count()
+        x = x.withColumn("__part", value_parts(x, "__x"))
+        gap = F.col("__x") - F.lag("__x").over(W.partitionBy("__part").orderBy("__x"))
+        rows = sorted(tuple(r) for r in x.withColumn("__g", gap).groupBy("__part").agg(F.min("__x"), F.max("__x"), F.sum(F.col("__g") * F.col("__g")), F.count("*")).collect())
+        unique = sum(r[4] for r in rows)
+        mean = (rows[-1][2] - rows[0][1]) / (n - 1)
+        if unique < DISTINCT_SHARE * n or mean < TINY_GAP:
+            continue
+        squares = sum(r[3] or 0.0 for r in rows) + sum((b[1] - a[2]) ** 2 for a, b in zip(rows[:-1], rows[1:]))
+        if max(squares / (n - 1) - mean * mean, 0.0) ** 0.5 / mean < EVEN:
+            suspect.append(c)
+    if suspect:
+        warnings.warn(f"columns look like ranks or percentiles, which leak if made on training and test rows together: {suspect[:10]}", UserWarning, stacklevel=2)
+    return suspect
