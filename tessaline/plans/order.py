@@ -209,7 +209,7 @@ def percentiles(df: DataFrame, values: Sequence[Feature], levels: Sequence[float
     out = []
     for found in select_ranks(df, values, [ranks] * len(values), (), bounds):
         at = {r: from_bits(key[0]) for r, key in found.items()}
-        out.append({q: at[int(np.floor(p))] + (at[int(np.ceil(p))] - at[int(np.floor(p))]) * (p - np.floor(p)) for q, p in places.items()})
+        out.append({q: float(at[int(np.floor(p))] + (at[int(np.ceil(p))] - at[int(np.floor(p))]) * (p - np.floor(p))) for q, p in places.items()})
     return out
 
 

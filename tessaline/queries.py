@@ -13,10 +13,10 @@ from .functions import metrics
 from .operators import families as fam
 from .operators.families import Config
 from .operators.pipeline import FeatureSet, Pipeline
-from .operators.workflows import apply_stage, auto_run, deepen, discover_carrier_space, multi_pass, prune_run, recipes
+from .operators.workflows import apply_stage, auto_run, deepen, discover_carrier_space, multi_pass, prune_run, recipe_light, recipes
 from .plans.expr import derive, raw, with_features
 from .plans.moments import collect_moments
-from .plans.stats import column_stats, infer_types
+from .plans.stats import column_stats, empirical_rank, infer_types
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,12 +75,14 @@ LINES = """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_s
 s AS (SELECT stddev_pop(a) AS sa, stddev_pop(b) AS sb, min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb FROM b) """
 
 
-def line_pairs(*families: str, digits: int = 6) -> Query:
+def line_pairs(*families: str, digits: int | tuple[int, ...] = 6) -> Query:
+    """digits: of all columns, or of each; a near-zero denominator makes a ratio of so many digits before the point."""
+
     def run(spark, sf):
         df = table(spark, sf, "lineitem")
         made = [f for f in fam.pairwise(df, [[raw("l_quantity"), raw("l_discount")]], C) if f.family in families]
         wide, names = with_features(df, made)
-        return wide.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[(F.round(F.col(n), digits) + 0.0).alias(f"v{k}") for k, n in enumerate(names)])
+        return wide.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[(F.round(F.col(n), digits if isinstance(digits, int) else digits[k]) + 0.0).alias(f"v{k}") for k, n in enumerate(names)])
 
     return run
 
@@ -99,7 +101,7 @@ for name, families, columns in [
     ("relu", ["am_relu"], ["greatest(0, a - b)", "greatest(0, b - a)"]),
     ("power", ["am_power"], [f"sign({x}) * pow(abs({x}) + 1e-10, {k} * {y})" for x, y in (("a", N01B), ("b", N01A)) for k in (0.5, 1, 2, 3)]),
 ]:
-    query(f"pair_{name}", LINES + "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + r(*columns, digits=1 if name == "ratio" else 6) + " FROM b, s")(line_pairs(*families, digits=1 if name == "ratio" else 6))
+    query(f"pair_{name}", LINES + "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + (r(*columns) if name != "ratio" else f"round({columns[0]}, 9) + 0.0 AS v0, round({columns[1]}, 1) + 0.0 AS v1") + " FROM b, s")(line_pairs(*families, digits=(9, 1) if name == "ratio" else 6))
 
 # ---------------------------------------------------------------- carriers and spaces: orders
 
@@ -182,23 +184,37 @@ def field_near(spark, sf):
     return shown(*(lambda d, m: (d, "p_partkey", m))(*part_fields(spark, sf, {"field_nearest"})))
 
 
-@query("field_zone", PARTS + "SELECT p_partkey, " + r(*ZONES[1]) + " FROM c")
+def melted(df: DataFrame, key: str, features) -> DataFrame:
+    """key, label and value of every feature: for a number of features that the data decide."""
+    wide, names = with_features(df, features)
+    cells = F.explode(F.array(*[F.struct(F.lit(f.label).alias("label"), (F.round(F.col(n), 6) + 0.0).alias("value")) for f, n in zip(features, names)]))
+    return wide.select(key, cells.alias("cell")).select(key, "cell.*")
+
+
+def gated(columns: dict[str, str]) -> str:
+    """SQL: key, label and value of the columns that are not constant."""
+    each = [f"SELECT p_partkey, '{label}' AS label, round(CAST({sql} AS DOUBLE), 6) + 0.0 AS value FROM c" for label, sql in columns.items()]
+    return PARTS + ", m AS (" + " UNION ALL ".join(each) + ") SELECT p_partkey, label, value FROM m WHERE label IN (SELECT label FROM m GROUP BY label HAVING stddev_pop(value) > 1e-10)"
+
+
+PAIR = "p_size+p_retailprice"
+EVERY_ZONE = {f"zone({PAIR},c{k},r={s:g})": ZONES[j][k] for j, s in enumerate(C.field_scales) for k in range(16)}
+
+
+@query("field_zone", gated(EVERY_ZONE))
 def field_zone(spark, sf):
-    df, made = part_fields(spark, sf, {"field_zone"})
-    return shown(df, "p_partkey", [f for f in made if f.label.endswith("r=0.3)")])
+    return melted(*(lambda d, m: (d, "p_partkey", m))(*part_fields(spark, sf, {"field_zone"})))
 
 
-@query("field_zcount", PARTS + "SELECT p_partkey, " + r(*[" + ".join(z) for z in ZONES[:2]]) + " FROM c")
+@query("field_zcount", gated({f"zcount({PAIR},r={s:g})": " + ".join(ZONES[j]) for j, s in enumerate(C.field_scales)}))
 def field_zcount(spark, sf):
-    df, made = part_fields(spark, sf, {"field_zcount"})
-    return shown(df, "p_partkey", made[:2])
+    return melted(*(lambda d, m: (d, "p_partkey", m))(*part_fields(spark, sf, {"field_zcount"})))
 
 
-@query("field_adjust", PARTS + "SELECT p_partkey, " + r(*[f"({z}) * x" for z in ZONES[1][:4]]) + " FROM c")
+@query("field_adjust", gated({f"{label}*{f}": f"({sql}) * {v}" for label, sql in EVERY_ZONE.items() for f, v in (("p_size", "x"), ("p_retailprice", "y"))}))
 def field_adjust(spark, sf):
     df, made = part_fields(spark, sf, {"field_zone"})
-    zones = [f for f in made if f.label.endswith("r=0.3)")][:4]
-    return shown(df, "p_partkey", fam.zone_adjustments(df, zones, [raw("p_size")]))
+    return melted(df, "p_partkey", fam.zone_adjustments(df, made, [raw("p_size"), raw("p_retailprice")]))
 
 
 # ---------------------------------------------------------------- statistics
@@ -227,12 +243,12 @@ def gram_small(spark, sf):
 
 @query("fft_bins", """WITH r AS (SELECT p_retailprice, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS rn FROM part), n AS (SELECT count(*) AS n, count(DISTINCT p_size) AS u FROM part),
 g AS (SELECT least(greatest(u // 2, 20), 200) AS bins, greatest(1, n // least(greatest(u // 2, 20), 200)) AS size FROM n)
-SELECT CAST(rn // size AS INTEGER) AS bin, round(avg(p_retailprice), 4) AS mean FROM r, g WHERE rn // size < bins GROUP BY 1""")
+SELECT CAST(rn // size AS INTEGER) AS bin, round(avg(p_retailprice), 6) AS mean FROM r, g WHERE rn // size < bins GROUP BY 1""")
 def fft_bins(spark, sf):
     from .operators.frequency import binned
 
     (_, mean), = binned(table(spark, sf, "part"), [raw("p_size")], F.col("p_retailprice"), ["p_partkey"])
-    return spark.createDataFrame([(k, round(float(v), 4)) for k, v in enumerate(mean)], "bin int, mean double")
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(mean)], "bin int, mean double")
 
 
 @query("metrics_regression", """WITH b AS (SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_extendedprice * (1 - l_discount) AS DOUBLE) AS p FROM lineitem)
@@ -258,9 +274,36 @@ def metrics_auc(spark, sf):
     return metrics.roc_auc(df, "y", "p").select(F.round("auc", 6).alias("auc"))
 
 
-@query("bootstrap_group_sums", "SELECT user_id, round(sum(value), 4) AS total, count(*) AS n FROM events GROUP BY user_id")
-def bootstrap_group_sums(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("total"), F.count("*").alias("n"))
+@query("metrics_auc_price", """WITH b AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, CAST(l_extendedprice AS DOUBLE) AS p FROM lineitem), g AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM b GROUP BY p),
+w AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 9) AS auc FROM w""")
+def metrics_auc_price(spark, sf):
+    df = table(spark, sf, "lineitem").repartition(16).select(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"), F.col("l_extendedprice").alias("p"))
+    return metrics.roc_auc(df, "y", "p").select(F.round("auc", 9).alias("auc"))
+
+
+@query("rank_large", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CAST(rank() OVER (ORDER BY CAST(l_extendedprice AS DOUBLE)) - 1 AS DOUBLE) / count(*) OVER (), 9) AS share FROM lineitem")
+def rank_large(spark, sf):
+    df = table(spark, sf, "lineitem").repartition(16)
+    out = empirical_rank(df, df, "l_extendedprice", "share")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("share", 9).alias("share"))
+
+
+@query("fft_bins_lineitem", """WITH r AS (SELECT l_discount, row_number() OVER (ORDER BY CAST(l_extendedprice AS DOUBLE), l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS rn FROM lineitem), n AS (SELECT count(*) AS n, count(DISTINCT l_extendedprice) AS u FROM lineitem),
+g AS (SELECT least(greatest(u // 2, 20), 200) AS bins, greatest(1, n // least(greatest(u // 2, 20), 200)) AS size FROM n)
+SELECT CAST(rn // size AS INTEGER) AS bin, round(avg(l_discount), 6) AS mean FROM r, g WHERE rn // size < bins GROUP BY 1""")
+def fft_bins_lineitem(spark, sf):
+    from .operators.frequency import binned
+
+    (_, mean), = binned(table(spark, sf, "lineitem").repartition(16), [raw("l_extendedprice")], F.col("l_discount"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(mean)], "bin int, mean double")
+
+
+@query("bootstrap_grouped")
+def bootstrap_grouped(spark, sf):
+    """Mean and interval of the difference of two losses over all events, whole users drawn again; tested against NumPy."""
+    df = table(spark, sf, "events")
+    found = metrics.grouped_bootstrap(df, "user_id", F.abs(F.col("value") - 10), F.abs(F.col("value") - 12))
+    return spark.createDataFrame([tuple(round(x, 6) for x in found)], "mean double, low double, high double")
 
 
 @query("split_time", "SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'train' WHEN ts < TIMESTAMP '2024-01-20' THEN 'val' ELSE 'test' END AS split FROM events")
@@ -296,6 +339,10 @@ def history(spark, p: Pipeline) -> DataFrame:
     return p.stages[-1].history.to_df(spark)
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in ("marginal_r2", "cumulative_r2")})
+
+
 @query("pipeline_flagship")
 def flagship(spark, sf):
     p = revenue(spark, sf)
@@ -319,6 +366,36 @@ for method in ("greedy", "omp", "correlation"):
     query(f"select_{method}_folds")(selecting(method, use_folds=True))
 
 
+INPUTS = "WITH b AS (SELECT CAST(l_quantity AS DOUBLE) AS a, CAST(l_extendedprice AS DOUBLE) AS b, CAST(l_discount AS DOUBLE) AS c, CAST(l_tax AS DOUBLE) AS d, CAST(l_extendedprice AS DOUBLE) * (1 - l_discount) AS y FROM lineitem), r AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, abs(corr({v}, y)) AS rel, abs(corr({v}, a)) AS ra, abs(corr({v}, b)) AS rb, abs(corr({v}, c)) AS rc, abs(corr({v}, d)) AS rd FROM b" for n, v in zip(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), "abcd")) + ")"
+
+
+@query("select_inputs_omp", INPUTS + ", f AS (SELECT name, rel FROM r ORDER BY rel DESC LIMIT 1) SELECT 0 AS step, name, 'raw' AS family, round(rel * rel, 6) AS marginal_r2, round(rel * rel, 6) AS cumulative_r2 FROM f")
+def select_inputs_omp(spark, sf):
+    """Pursuit of one input: its R² is the squared correlation."""
+    p = revenue(spark, sf)
+    p.select(FeatureSet(p._inputs), 1, "omp")
+    return rounded(history(spark, p))
+
+
+@query("select_inputs_correlation", INPUTS + """, f AS (SELECT name, rel FROM r ORDER BY rel DESC LIMIT 1), s AS (SELECT r.name, r.rel, r.rel - 0.5 * CASE f.name WHEN 'l_quantity' THEN ra WHEN 'l_extendedprice' THEN rb WHEN 'l_discount' THEN rc ELSE rd END AS score FROM r, f WHERE r.name <> f.name ORDER BY score DESC LIMIT 1)
+SELECT 0 AS step, name, 'raw' AS family, round(rel, 6) AS marginal_r2, round(rel, 6) AS cumulative_r2 FROM f UNION ALL SELECT 1, name, 'raw', round(rel, 6), round(score, 6) FROM s""")
+def select_inputs_correlation(spark, sf):
+    """Two steps of relevance minus redundancy."""
+    p = revenue(spark, sf)
+    p.select(FeatureSet(p._inputs), 2, "correlation")
+    return rounded(history(spark, p))
+
+
+@query("pipeline_fuse_transform", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + r("q", "q * q", "p", "q * p", "abs(q - p)") + " FROM (SELECT *, CAST(l_quantity AS DOUBLE) AS q, CAST(l_tax AS DOUBLE) AS p FROM lineitem)")
+def pipeline_fuse_transform(spark, sf):
+    """A fusion keeps an expression that repeats once, and transform projects it."""
+    p = revenue(spark, sf)
+    q, tax = raw("l_quantity"), raw("l_tax")
+    both = p.fuse(FeatureSet((q, derive("{0} * {0}", [q], "q2", "squared"))), FeatureSet((tax, q, derive("{0} * {1}", [q, tax], "qt", "am_product"))), FeatureSet((derive("abs({0} - {1})", [q, tax], "|q-t|", "am_diff"),)))
+    out = p.transform(p.df, KEY[:4], both)
+    return out.select(*KEY[:4], *[(F.round(F.col(f"`{c}`"), 6) + 0.0).alias(f"v{k}") for k, c in enumerate(out.columns[4:])])
+
+
 @query("select_per_class")
 def select_per_class(spark, sf):
     df = table(spark, sf, "lineitem").withColumn("cls", F.when(F.col("l_quantity") > 30, 1).otherwise(0))
@@ -392,7 +469,7 @@ def workflow_prune(spark, sf):
 @query("workflow_multi_pass")
 def workflow_multi_pass(spark, sf):
     df = table(spark, sf, "lineitem").withColumn("revenue", F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    result = multi_pass(df, "revenue", LINE, recipes(2)["light"], 2)
+    result = multi_pass(df, "revenue", LINE, recipe_light(2), 2)
     out = result.transform_with_unused(df, KEY)
     return out.toDF(*[f"c{k}" for k in range(len(out.columns))])
 
