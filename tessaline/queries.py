@@ -211,7 +211,12 @@ def field_zcount(spark, sf):
     return melted(*(lambda d, m: (d, "p_partkey", m))(*part_fields(spark, sf, {"field_zcount"})))
 
 
-@query("field_adjust", gated({f"{label}*{f}": f"({sql}) * {v}" for label, sql in EVERY_ZONE.items() for f, v in (("p_size", "x"), ("p_retailprice", "y"))}))
+ADJUSTED = PARTS + ", m AS (" + " UNION ALL ".join(f"SELECT p_partkey, x, y, '{label}' AS label, {sql} AS value FROM c" for label, sql in EVERY_ZONE.items()) + """), k AS (SELECT label FROM m GROUP BY label HAVING stddev_pop(value) > 1e-10),
+a AS (SELECT p_partkey, label || '*p_size' AS label, value * x AS value FROM m WHERE label IN (SELECT label FROM k) UNION ALL SELECT p_partkey, label || '*p_retailprice', value * y FROM m WHERE label IN (SELECT label FROM k))
+SELECT p_partkey, label, round(CAST(value AS DOUBLE), 6) + 0.0 AS value FROM a WHERE label IN (SELECT label FROM a GROUP BY label HAVING stddev_pop(value) >= 1e-10)"""
+
+
+@query("field_adjust", ADJUSTED)
 def field_adjust(spark, sf):
     df, made = part_fields(spark, sf, {"field_zone"})
     return melted(df, "p_partkey", fam.zone_adjustments(df, made, [raw("p_size"), raw("p_retailprice")]))
