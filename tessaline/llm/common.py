@@ -106,7 +106,7 @@ def join_evenly(left: DataFrame, right: DataFrame, on: str, weight: str, spread:
     return met.select(*left.columns, *[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) for c in values])
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that their text holds about max_bytes; a longer single text is a batch of its own."""
     for batch in batches:
         _, offsets = flat(batch.column(batch.schema.get_field_index(column)))
@@ -161,6 +161,12 @@ class Powers:
             setattr(self, name, np.multiply.accumulate(out))
         self.n = n
 
+    def shrink(self) -> None:
+        """Back to a short table, if a long text has made it long."""
+        n = 1 << 16
+        if self.n > n:
+            self.up, self.down, self.n = self.up[:n].copy(), self.down[:n].copy(), n
+
     def prefix(self, data: np.ndarray) -> np.ndarray:
         """P with P[j] - P[i] = sum of (byte + 1) * base^position over [i, j)."""
         self.grow(len(data) + 1)
@@ -262,6 +268,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def release() -> None:
     """Give memory that is no longer used back to the system: workers live on and serve other stages."""
+    POWERS.shrink()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -284,7 +291,7 @@ def tidy(run):
 
 
 #: Bytes of an Arrow batch on its way to a Python worker. Spark's default of 64 MB is several hundred MB of an executor beside its heap.
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 2 << 20
 
 
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import KEY, LOWER_BYTES, in_arrow, join_evenly, shuffle_partitions, stored, table, with_key, without_rows
 
-LOCAL_BYTES = 32 << 20
-BUCKET_BYTES = 48 << 20
+LOCAL_BYTES = 16 << 20
+BUCKET_BYTES = 32 << 20
 FANOUT = 16
 LEVELS = 16  # 64 hash bits; what still shares a bucket then has one hash value
 
