@@ -5,15 +5,15 @@ least hash of K bytes inside it) in every place, so only the suffixes at
 anchors matter, about one byte in fifty, and each answers for the windows whose
 anchor it is. Three steps:
 
-1. Fingerprints of the anchors' K bytes and of their whole contexts are dealt
-   by the former. Anchors whose K bytes are unique go; those whose whole
-   context repeats are covered at once. What is left are the edges of repeats.
-2. Map tasks sort the suffixes at the edges into runs, front-code them (the
-   length of the prefix shared with the suffix before, and the rest), and deal
-   the runs by fingerprint. Loser trees that carry common-prefix lengths merge
-   the runs without comparing a known prefix again. From the merged order's
-   common prefixes, to the right and likewise to the left of the anchor,
-   follows which windows are equal.
+1. Fingerprints of the anchors' K bytes are counted. Anchors whose fingerprint
+   is unique go; a fingerprint decides nothing else.
+2. Map tasks sort the suffixes at the other anchors into runs, front-code them
+   (the length of the prefix shared with the suffix before, and the rest), and
+   deal the runs by fingerprint. What a run holds twice, byte for byte, is
+   covered there and goes on once. Loser trees that carry common-prefix lengths
+   merge the runs without comparing a known prefix again. From the merged
+   order's common prefixes, to the right and likewise to the left of the
+   anchor, follows which windows are equal.
 3. The covered spans come back to their documents.
 """
 
@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FIELDS, KEY, POWERS, U64, bounded, flat, in_arrow, merged, mix, shuffle_partitions, stored, table, with_key
+from .common import KEY, POWERS, U64, bounded, flat, in_arrow, merged, mix, shuffle_partitions, table, with_key
 
 LENGTH = 200
 K = 100
 WIDTH = LENGTH - K + 1
 FLUSH = 1_000_000
-COVERED, EDGE = 0, 1
+RUN_SIZE = 100_000
+#: Bits of an anchor on its way, from the top: its first window, how far the anchor is from there, how many windows follow, its bucket.
+BACK_BITS, REACH_BITS, BUCKET_BITS = 7, 7, 18
 #: The key of a document on its way: its two columns side by side.
 DOC = np.dtype([("key", "<i8"), ("tag", "<i8")])
 
@@ -46,16 +48,14 @@ def keys_of(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, anchor, first, last, fingerprint, context, check): for each anchor the windows [first, last] that it answers for.
+    """(row, anchor, first, last, fingerprint): for each anchor the windows [first, last] that it answers for.
 
-    Positions count from the start of the data. fingerprint is of the K bytes
-    at the anchor; context and check, of four prime fields together, are of all
-    bytes of the windows and the anchor's place.
+    Positions count from the start of the data. fingerprint is of the K bytes at the anchor.
     """
     n = len(data) - LENGTH + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none, *(none.view(np.uint64),) * 3
+        return none, none, none, none, none.view(np.uint64)
     prefix = POWERS.prefix(data)
     m = len(data) - K + 1
     h = mix((prefix[K : K + m] - prefix[:m]) * POWERS.down[:m])
@@ -74,34 +74,39 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     stop = np.flatnonzero(ok & np.concatenate((~ok[1:] | (at[1:] != at[:-1]), [True])))
     # Rows that adjoin: a row's last window and the next row's first are never neighbours, as LENGTH - 1 starts lie between.
     anchor = at[start]
-    context, check = FIELDS.hash(data, start, stop + LENGTH)
-    place = mix((anchor - start).astype(np.uint64) + U64(1))
-    return np.searchsorted(offsets, start, side="right") - 1, anchor, start, stop, h[anchor], mix(context + place), mix(check ^ place)
+    return np.searchsorted(offsets, start, side="right") - 1, anchor, start, stop, h[anchor]
 
 
 HEAD = "part int, blob binary"
 
 
-def _deal(shared_parts: int):
-    """Step 1, map side. Contexts that repeat within a flush are covered there; one of each, and all others, are dealt."""
+def _shares(n: int, parts: int) -> Iterator[tuple[int, slice]]:
+    """n rows that need not meet others, dealt evenly over the parts."""
+    cut = np.arange(parts + 1) * n // parts
+    for part, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+        if a < b:
+            yield part, slice(a, b)
+
+
+def _deal(parts: int):
+    """Step 1, map side. One anchor of each fingerprint of a flush is dealt by it; the others repeat and go anywhere."""
 
     def pack(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        doc, first, back, reach, mark, context, check = (np.concatenate(x) for x in zip(*held))
-        part = (mix(mark ^ U64(0x5851F42D4C957F2D)) % U64(shared_parts)).astype(np.int64)
-        order = np.lexsort((check, context, mark, part))
-        doc, first, back, reach, mark, context, check, part = (x[order] for x in (doc, first, back, reach, mark, context, check, part))
-        same = np.concatenate(([False], (mark[1:] == mark[:-1]) & (context[1:] == context[:-1]) & (check[1:] == check[:-1])))
-        repeated = same | np.concatenate((same[1:], [False]))
-        sent = ~same  # the first of each context, marked as repeated if others follow
-        cut = np.searchsorted(part, np.arange(shared_parts + 1))
+        doc, place, mark = (np.concatenate(x) for x in zip(*held))
+        part = (mix(mark ^ U64(0x5851F42D4C957F2D)) % U64(parts)).astype(np.int64)
+        order = np.lexsort((mark, part))
+        doc, place, mark, part = (x[order] for x in (doc, place, mark, part))
+        again = np.concatenate(([False], mark[1:] == mark[:-1]))
+        many = np.concatenate((again[1:], [False]))[~again].astype("u1")
+        known_doc, known_place = doc[again], place[again]
+        known = dict(_shares(len(known_doc), parts))
+        doc, place, mark, part = (x[~again] for x in (doc, place, mark, part))
+        cut = np.searchsorted(part, np.arange(parts + 1))
         ids, blobs = [], []
         for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-            if a < b:
-                s, c = sent[a:b], repeated[a:b]
-                local = np.flatnonzero(c)
-                one = np.flatnonzero(s)
-                g, r = a + one, a + local
-                blob = [np.array([len(one), len(local)], "<u4"), mark[g], context[g], check[g], doc[g], first[g].astype("<u4"), back[g].astype("u1"), reach[g].astype("u1"), c[one].astype("u1"), doc[r], first[r].astype("<u4"), reach[r].astype("u1")]
+            r = known.get(p, slice(0, 0))
+            if a < b or r.start < r.stop:
+                blob = [np.array([b - a, r.stop - r.start], "<u4"), mark[a:b], doc[a:b], place[a:b], many[a:b], known_doc[r], known_place[r]]
                 ids.append(p)
                 blobs.append(b"".join(x.tobytes() for x in blob))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
@@ -110,9 +115,12 @@ def _deal(shared_parts: int):
         held, count = [], 0
         for batch in bounded(batches, "text"):
             data, offsets = flat(batch.column(2))
-            row, anchor, first, last, mark, context, check = anchors(data, offsets)
+            row, anchor, first, last, mark = anchors(data, offsets)
             if len(row):
-                held.append((keys_of(batch)[row], first - offsets[row], anchor - first, last - first, mark, context, check))
+                place = (first - offsets[row]) << BACK_BITS | (anchor - first)
+                place = place << REACH_BITS | (last - first)
+                place = place << BUCKET_BITS | (mark & U64((1 << BUCKET_BITS) - 1)).astype(np.int64)
+                held.append((keys_of(batch)[row], place, mark))
                 count += len(row)
             if count >= FLUSH:
                 yield from pack(held)
@@ -123,55 +131,36 @@ def _deal(shared_parts: int):
     return run
 
 
-MARKS = "__key long, __tag long, kind int, first int, back int, reach int, many boolean, mark long"
-MARKS_SCHEMA = pa.schema([("__key", pa.int64()), ("__tag", pa.int64()), ("kind", pa.int32()), ("first", pa.int32()), ("back", pa.int32()), ("reach", pa.int32()), ("many", pa.bool_()), ("mark", pa.int64())])
+EDGES = pa.schema([("__key", pa.int64()), ("__tag", pa.int64()), ("place", pa.int64())])
 
 
-def _marks(doc, kind, first, back, reach, many, mark) -> pa.RecordBatch:
-    n = len(doc)
-    cast = lambda x, t: pa.array(np.broadcast_to(x, n).astype(t))
-    return pa.RecordBatch.from_arrays([pa.array(doc["key"]), pa.array(doc["tag"]), cast(kind, np.int32), cast(first, np.int32), cast(back, np.int32), cast(reach, np.int32), cast(many, bool), pa.array(mark.view(np.int64)) if isinstance(mark, np.ndarray) else cast(mark, np.int64)], schema=MARKS_SCHEMA)
+def _edges(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc["key"]), pa.array(doc["tag"]), pa.array(place)], schema=EDGES)
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1, reduce side: covered contexts, and the edges with one of each context they may share a window with."""
+    """Step 1, reduce side: the anchors whose fingerprint is not unique."""
     blobs: dict[int, list[bytes]] = {}
     for batch in batches:
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            blobs.setdefault(part, []).append(blob)
+            n, known = (int(x) for x in np.frombuffer(blob, "<u4", 2))
+            at = 8 + 33 * n
+            if known:
+                yield _edges(np.frombuffer(blob, DOC, known, at), np.frombuffer(blob, "<i8", known, at + 16 * known))
+            if n:
+                blobs.setdefault(part, []).append(blob[:at])
     for part in sorted(blobs):
-        columns: list[list] = [[] for _ in range(8)]
+        columns: list[list] = [[] for _ in range(4)]
         for blob in blobs.pop(part):
-            n, local = (int(x) for x in np.frombuffer(blob, "<u4", 2))
-            at = 8
-            for column, kind in zip(columns, ("<u8", "<u8", "<u8", DOC, "<u4", "u1", "u1", "u1")):
+            n, at = int(np.frombuffer(blob, "<u4", 1)[0]), 8
+            for column, kind in zip(columns, ("<u8", DOC, "<i8", "u1")):
                 column.append(np.frombuffer(blob, kind, n, at))
                 at += n * np.dtype(kind).itemsize
-            if local:
-                doc = np.frombuffer(blob, DOC, local, at)
-                first = np.frombuffer(blob, "<u4", local, at + 16 * local)
-                yield _marks(doc, COVERED, first, 0, np.frombuffer(blob, "u1", local, at + 20 * local), True, 0)
-        mark, context, check, doc, first, back, reach, many = (np.concatenate(c) for c in columns)
-        order = np.lexsort((check, context, mark))
-        mark, context, check, doc, first, back, reach, many = (x[order] for x in (mark, context, check, doc, first, back, reach, many))
-        new_mark = np.concatenate(([True], mark[1:] != mark[:-1]))
-        new_context = new_mark | np.concatenate(([True], (context[1:] != context[:-1]) | (check[1:] != check[:-1])))
-        head = np.flatnonzero(new_context)
-        size = np.diff(np.append(head, len(mark)))
-        total = np.add.reduceat(many.astype(np.int64), head) + size  # a context that repeats in one map task counts twice
-        covered = np.repeat(total > 1, size)
-        fresh = covered & (many == 0)
-        if fresh.any():
-            yield _marks(doc[fresh], COVERED, first[fresh], 0, reach[fresh], True, 0)
-        # Groups of one context have no edge; in all others each context goes on once.
-        group = np.cumsum(new_mark) - 1
-        contexts = np.bincount(group[head])
-        go = head[contexts[group[head]] > 1]
-        alive = np.zeros(len(contexts), bool)
-        alive[group[go][~covered[go]]] = True
-        go = go[alive[group[go]]]
-        if len(go):
-            yield _marks(doc[go], EDGE, first[go], back[go], reach[go], covered[go], mark[go])
+        mark, doc, place, many = (np.concatenate(c) for c in columns)
+        _, group, size = np.unique(mark, return_inverse=True, return_counts=True)
+        go = (many > 0) | (size[group] > 1)
+        if go.any():
+            yield _edges(doc[go], place[go])
 
 
 def common_prefix(a: bytes, b: bytes, at: int = 0) -> int:
@@ -261,41 +250,75 @@ RUN = "part int, blob binary"
 
 
 def _runs(parts: int):
-    """Step 2, map side: key, edges and text of a document -> sorted, front-coded runs of the suffixes at the edges."""
+    """Step 2, map side: key, edges and text of a document -> sorted, front-coded runs of the suffixes at the edges.
+
+    A suffix that the run holds again, with the same bytes to its left, goes on
+    once and marked; where it stands is covered and goes to any part.
+    """
 
     def pack(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list] = {}
         for entry in held:
             by_part.setdefault(entry[0], []).append(entry)
-        ids, blobs = [], []
-        for part, entries in sorted(by_part.items()):
+        runs: dict[int, list[bytes]] = {}
+        covered: list[tuple] = []
+        for part, entries in by_part.items():
             entries.sort(key=lambda e: (e[1], e[2]))
-            shared, rest = front_code([e[1] for e in entries])
-            left = [e[2] for e in entries]
-            numbers = [np.array([len(entries)], "<u4"), np.array(shared, "u1"), np.array([len(r) for r in rest], "<u2"), np.array([len(x) for x in left], "u1"), np.array([e[3] for e in entries], DOC), np.array([e[4] for e in entries], "<u4"), np.array([e[5] for e in entries], "u1"), np.array([e[6] for e in entries], "u1")]
+            kept, many = [], []
+            for e in entries:
+                if kept and e[1] == kept[-1][1] and e[2] == kept[-1][2]:
+                    if not many[-1]:
+                        many[-1] = 1
+                        covered.append(kept[-1])
+                    covered.append(e)
+                else:
+                    kept.append(e)
+                    many.append(0)
+            shared, rest = front_code([e[1] for e in kept])
+            left = [e[2] for e in kept]
+            numbers = [np.array([len(kept)], "<u4"), np.array(shared, "u1"), np.array([len(r) for r in rest], "<u2"), np.array([len(x) for x in left], "u1"), np.array([e[3] for e in kept], DOC), np.array([e[4] for e in kept], "<u4"), np.array([e[5] for e in kept], "u1"), np.array(many, "u1")]
+            runs[part] = [*(x.tobytes() for x in numbers), *rest, *left]
+        doc, low, high = np.array([e[3] for e in covered], DOC), np.array([e[4] for e in covered], np.int64), np.array([e[4] + e[5] + LENGTH for e in covered], np.int64)
+        order = np.lexsort((low, doc["tag"], doc["key"]))
+        doc, low, high = doc[order], low[order], high[order]
+        # An anchor's windows come after those of the anchor before it: both ends ascend within a document.
+        head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (low[1:] > high[:-1])))) if len(doc) else np.zeros(0, np.int64)
+        doc, span = doc[head], low[head] << 32 | high[np.append(head[1:], len(doc)) - 1] if len(head) else low
+        known = dict(_shares(len(doc), parts))
+        ids, blobs = [], []
+        for part in sorted({*runs, *known}):
+            r = known.get(part, slice(0, 0))
             ids.append(part)
-            blobs.append(b"".join([*(x.tobytes() for x in numbers), *rest, *left]))
+            blobs.append(b"".join([np.array([r.stop - r.start], "<u4").tobytes(), doc[r].tobytes(), span[r].tobytes(), *runs.get(part, ())]))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            for key, tag, edges, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                doc, raw = (key, tag), (text or "").encode()
-                for e in edges or ():
-                    first, back, reach = e["first"], e["back"], e["reach"]
-                    anchor = first + back
-                    held.append((e["mark"] % parts, raw[anchor : first + reach + LENGTH], raw[first:anchor][::-1], doc, first, reach, int(e["many"])))
-            if len(held) > 100_000:
-                yield from pack(held)
-                held = []
+            for key, tag, edges, text in zip(*(batch.column(k) for k in range(4))):
+                doc, raw = (key.as_py(), tag.as_py()), text.as_py().encode()
+                place = edges.values.to_numpy()
+                part = (place & ((1 << BUCKET_BITS) - 1)) % parts
+                place = place >> BUCKET_BITS
+                reach, place = place & ((1 << REACH_BITS) - 1), place >> REACH_BITS
+                back, first = place & ((1 << BACK_BITS) - 1), place >> BACK_BITS
+                for p, f, b, r in zip(part.tolist(), first.tolist(), back.tolist(), reach.tolist()):
+                    held.append((p, raw[f + b : f + r + LENGTH], raw[f : f + b][::-1], doc, f, r))
+                    if len(held) >= RUN_SIZE:
+                        yield from pack(held)
+                        held = []
         if held:
             yield from pack(held)
 
     return run
 
 
-SPANS = pa.schema([("__key", pa.int64()), ("__tag", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+SPANS = pa.schema([("__key", pa.int64()), ("__tag", pa.int64()), ("span", pa.int64())])
+
+
+def _spans(doc: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
+    """Spans as start << 32 | end."""
+    return pa.RecordBatch.from_arrays([pa.array(doc["key"]), pa.array(doc["tag"]), pa.array(span)], schema=SPANS)
 
 
 def equal_windows(right_lcp: np.ndarray, left: list[bytes], first_of_group: np.ndarray, back: np.ndarray, reach: np.ndarray, many: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -307,6 +330,7 @@ def equal_windows(right_lcp: np.ndarray, left: list[bytes], first_of_group: np.n
     """
     n = len(left)
     group = np.cumsum(first_of_group)
+    group = group.tolist()
     order = sorted(range(n), key=lambda i: (group[i], left[i]))
     left_lcp = np.zeros(n, np.int64)
     for a, b in zip(order[:-1], order[1:]):
@@ -333,11 +357,15 @@ def equal_windows(right_lcp: np.ndarray, left: list[bytes], first_of_group: np.n
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, reduce side: the spans of repeated windows at the edges."""
+    """Step 2, reduce side: the spans of repeated windows."""
     blobs: dict[int, list[bytes]] = {}
     for batch in batches:
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            blobs.setdefault(part, []).append(blob)
+            known = int(np.frombuffer(blob, "<u4", 1)[0])
+            if known:
+                yield _spans(np.frombuffer(blob, DOC, known, 4), np.frombuffer(blob, "<i8", known, 4 + 16 * known))
+            if len(blob) > 4 + 24 * known:
+                blobs.setdefault(part, []).append(blob[4 + 24 * known :])
     for part in sorted(blobs):
         runs, refs = [], []
         for number, blob in enumerate(blobs.pop(part)):
@@ -365,21 +393,19 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, lcp = [every[i] for i in flat_at], np.array(lcp)
         new_group = lcp < K
         new_group[0] = True
-        docs, lows = [], []
-        for d, hit in equal_windows(lcp, left, new_group, back, reach, many):
-            hit = hit[many[hit] == 0]  # what repeats whole is covered already
-            if not len(hit):
-                continue
-            docs.append(doc[hit])
-            lows.append(first[hit] + back[hit] - d)
-        if docs:
-            doc, low = np.concatenate(docs), np.concatenate(lows)
-            order = np.lexsort((low, doc["tag"], doc["key"]))
-            doc, low = doc[order], low[order]
-            new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (low[1:] != low[:-1] + 1)))
-            head = np.flatnonzero(new)
-            last = np.append(head[1:], len(doc)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(doc["key"][head]), pa.array(doc["tag"][head]), pa.array(low[head].astype(np.int32)), pa.array((low[last] + LENGTH).astype(np.int32))], schema=SPANS)
+        # Windows repeat at runs of distances: since[i] is the least of the run that is open for entry i.
+        since, anchor = np.full(len(left), -1), first + back
+        hits = dict(equal_windows(lcp, left, new_group, back, reach, many))
+        for d in range(WIDTH + 1):
+            hit = np.zeros(len(left), bool)
+            if d in hits:
+                hit[hits[d]] = True
+                hit &= many == 0  # what its own run repeats is covered already
+            done = np.flatnonzero(~hit & (since >= 0))
+            if len(done):
+                yield _spans(doc[done], (anchor[done] - (d - 1)) << 32 | (anchor[done] - since[done] + LENGTH))
+                since[done] = -1
+            since[hit & (since < 0)] = d
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -391,9 +417,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for k, spans in enumerate(batch.column(1).to_pylist()):
             raw = data[offsets[k] : offsets[k + 1]]
-            pairs = np.array([(s["low"], s["high"]) for s in spans or ()], np.int64).reshape(-1, 2)
-            low, high = merged(np.minimum(pairs[:, 0], len(raw)), np.minimum(pairs[:, 1], len(raw)))
-            low, high = low[high > low], high[high > low]
+            spans = np.array(spans or (), np.int64)
+            low, high = merged(spans >> 32, spans & 0xFFFFFFFF)
             if len(low):
                 keep = np.ones(len(raw), bool)
                 for a, b in zip(low, high):
@@ -413,20 +438,18 @@ def remove_repeats(docs: DataFrame, spark: SparkSession) -> DataFrame:
     nothing. Repeated rows of one doc_id and text are documents of their own
     and so lose what is 200 bytes or longer; rows that share a doc_id with
     different texts, or have no doc_id, are told apart by a hash of the text.
-    An empty table gives an empty result; other columns are not read. Whole
-    contexts are told apart by 124 bits of hashes in prime fields.
+    An empty table gives an empty result; other columns are not read. All
+    strings are compared byte for byte.
     """
     n = shuffle_partitions(spark)
     parts = 4 * n
     rows = with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     dealt = rows.select(*KEY, "text").transform(in_arrow, _deal(parts), HEAD).repartition(n, "part")
-    marks = stored(spark, dealt.transform(in_arrow, _classify, MARKS), "marks")
+    edges = dealt.transform(in_arrow, _classify, "__key long, __tag long, place long").groupBy(*KEY).agg(F.collect_set("place").alias("edges"))
     texts = rows.repartition(n, *KEY)
-    edges = marks.where(F.col("kind") == EDGE).groupBy(*KEY).agg(F.collect_set(F.struct("first", "back", "reach", "many", F.pmod("mark", F.lit(1 << 62)).alias("mark"))).alias("edges"))
     runs = texts.join(edges, KEY).select(*KEY, "edges", "text").transform(in_arrow, _runs(parts), RUN)
-    found = runs.repartition(n, "part").transform(in_arrow, _merge, "__key long, __tag long, low int, high int")
-    covered = marks.where(F.col("kind") == COVERED).select(*KEY, F.col("first").alias("low"), (F.col("first") + F.col("reach") + LENGTH).alias("high"))
-    spans = covered.unionByName(found).groupBy(*KEY).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    found = runs.repartition(n, "part").transform(in_arrow, _merge, "__key long, __tag long, span long")
+    spans = found.groupBy(*KEY).agg(F.collect_set("span").alias("spans"))
     done = texts.join(spans, KEY, "left").select("doc_id", "spans", "text")
     return done.transform(in_arrow, _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

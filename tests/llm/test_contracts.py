@@ -245,6 +245,36 @@ def test_suffix_dedup_of_overlapping_passages(spark):
     assert rows(remove_repeats(df, spark), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(out)
 
 
+def test_suffix_steps_over_many_flushes_and_runs(monkeypatch):
+    """Copies that meet in one run, in several runs and in several flushes, with every fingerprint the same too."""
+    from tessaline.llm import suffix_dedup as s
+
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    passages = [text(n) for n in (200, 230, 700, 1500)]
+    out = [(k, text(rng.randrange(60)) + rng.choice(passages) + text(rng.randrange(300))) for k in range(30)] + [(50 + k, passages[3]) for k in range(9)] + [(70, "z" * 900), (71, ""), (72, passages[0][:199])]
+    monkeypatch.setattr(s, "FLUSH", 40)
+    monkeypatch.setattr(s, "RUN_SIZE", 37)
+    whole = s.anchors
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(s, "anchors", lambda *a: (*(found := whole(*a))[:4], found[4] * 0))
+        dealt = [b for k in range(0, len(out), 4) for b in s._deal(3)(iter([pa.record_batch({"__key": [i for i, _ in out[k : k + 4]], "__tag": [0] * len(out[k : k + 4]), "text": [t for _, t in out[k : k + 4]]})]))]
+        edges: dict[int, set] = {}
+        for b in s._classify(iter(dealt)):
+            for key, place in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                edges.setdefault(key, set()).add(place)
+        held = [(i, t) for i, t in out if i in edges]
+        runs = [b for k in range(0, len(held), 11) for b in s._runs(3)(iter([pa.record_batch({"k": [i for i, _ in held[k : k + 11]], "t": [0] * len(held[k : k + 11]), "e": [sorted(edges[i]) for i, _ in held[k : k + 11]], "x": [t for _, t in held[k : k + 11]]})]))]
+        spans: dict[int, list] = {}
+        for b in s._merge(iter(runs)):
+            for key, span in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                spans.setdefault(key, []).append(span)
+        table = pa.record_batch({"doc_id": [i for i, _ in out], "spans": [spans.get(i) for i, _ in out], "text": [t for _, t in out]})
+        got = [row[:5] for b in s._finish(iter([table])) for row in zip(*(c.to_pylist() for c in b.columns))]
+        assert sorted(got) == sorted(brute.repeats(out))
+
+
 def test_loser_tree_merges_front_coded_runs():
     from tessaline.llm.suffix_dedup import Run, common_prefix, front_code, merge_runs
 
