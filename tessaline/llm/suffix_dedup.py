@@ -447,7 +447,8 @@ def remove_repeats(docs: DataFrame, spark: SparkSession) -> DataFrame:
     dealt = rows.select(*KEY, "text").transform(in_arrow, _deal(parts), HEAD).repartition(n, "part")
     edges = dealt.transform(in_arrow, _classify, "__key long, __tag long, place long").groupBy(*KEY).agg(F.collect_set("place").alias("edges"))
     texts = rows.repartition(n, *KEY)
-    runs = texts.join(edges, KEY).select(*KEY, "edges", "text").transform(in_arrow, _runs(parts), RUN)
+    # With doc_id, though unread, the texts are shuffled once: both joins take the same columns of them.
+    runs = texts.join(edges, KEY).select(*KEY, "edges", "text", "doc_id").transform(in_arrow, _runs(parts), RUN)
     found = runs.repartition(n, "part").transform(in_arrow, _merge, "__key long, __tag long, span long")
     spans = found.groupBy(*KEY).agg(F.collect_set("span").alias("spans"))
     done = texts.join(spans, KEY, "left").select("doc_id", "spans", "text")
