@@ -50,6 +50,11 @@ def group_split(df: DataFrame, keys: Sequence[str], seed: int = 0, shares: Seque
     return df.withColumn(alias, out)
 
 
+def random_split(df: DataFrame, row_id: Sequence[str], seed: int = 0, shares: Sequence[float] = (0.6, 0.2, 0.2), alias: str = "split") -> DataFrame:
+    """Every row goes to train, val or test by the hash of its identity, so a lost task deals its rows as before."""
+    return group_split(df, row_id, seed, shares, alias=alias)
+
+
 def time_split(df: DataFrame, column: str, first: object, second: object, alias: str = "split") -> DataFrame:
     """train before `first`, val before `second`, test from there on."""
     return df.withColumn(alias, F.when(F.col(column) < F.lit(first), "train").when(F.col(column) < F.lit(second), "val").otherwise("test"))
@@ -62,6 +67,61 @@ def ridge_readout(train: Moments, val: Moments, d: int, alphas: Sequence[float]
     return best, u, float(train.mean[d] - train.mean[:d] @ u)
 
 
+def logistic_readout(df: DataFrame, inputs: Sequence[str], y: str, c: float = 0.5):
+    """A function that adds a probability column to a table, fitted on the rows of df without nulls.
+
+    Inputs are standardised (a constant one gives zeros); the penalty is half
+    the squared weights against c times the summed log-loss, without the intercept.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    known = df.dropna(subset=[*inputs, y])
+    row = known.agg(F.count("*").alias("n"), *[f(F.col(x).cast("double")).alias(f"{k}{i}") for i, x in enumerate(inputs) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    if not row.n:
+        raise ValueError("no rows without nulls to fit")
+    scaled = {f"__x{i}": (F.col(x).cast("double") - row[f"m{i}"]) / (row[f"s{i}"] or 1.0) for i, x in enumerate(inputs)}
+    together = VectorAssembler(inputCols=list(scaled), outputCol="__v")
+    learner = LogisticRegression(featuresCol="__v", labelCol="__y", predictionCol="__p", probabilityCol="__q", rawPredictionCol="__r", family="binomial", regParam=1 / (c * row.n), standardization=False, maxIter=2000, tol=1e-10)
+    model = learner.fit(together.transform(known.withColumns(scaled).withColumn("__y", F.col(y).cast("double"))))
+
+    def probability(rows: DataFrame, alias: str = "probability") -> DataFrame:
+        """Null where an input is null."""
+        found = model.transform(together.setHandleInvalid("keep").transform(rows.withColumns(scaled)))
+        q = vector_to_array("__q")[1]
+        return found.select(*rows.columns, F.when(F.isnan(q), None).otherwise(q).alias(alias))
+
+    return probability
+
+
+def out_of_fold(df: DataFrame, inputs: Sequence[str], y: str, group: str, folds: int = 5, c: float = 0.5, seed: int = 0, alias: str = "probability") -> DataFrame:
+    """df with the probability that a logistic readout of the other folds gives each row; groups are whole in a fold, by hash."""
+    fold, out = bucket([group], seed, folds), None
+    for k in range(folds):
+        held = df.where(fold == k)
+        if not held.isEmpty():
+            part = logistic_readout(df.where(fold != k), inputs, y, c)(held, alias)
+            out = part if out is None else out.unionByName(part)
+    return df.withColumn(alias, F.lit(None).cast("double")) if out is None else out
+
+
+def matched_label(state: DataFrame, other: DataFrame, keys: Sequence[str], won: str, alias: str = "label") -> DataFrame:
+    """The rows of state that have a match in other by keys (each at most once there), labelled 1.0 where the match won and they did not, else 0.0.
+
+    A null outcome of either counts as not won.
+    """
+    is_won = F.coalesce(F.col(won).cast("double"), F.lit(0.0))
+    matches = other.select(*keys, is_won.alias("__won"))
+    joined = state.join(matches, list(keys))
+    return joined.select(*[F.col(c) for c in state.columns], (F.col("__won") > is_won).cast("double").alias(alias))
+
+
+def paired_bootstrap(df: DataFrame, pair: str, treated: Column, control: Column, draws: int = 4000, seed: int = 0) -> tuple[float, float, float]:
+    """(mean, 2.5 %, 97.5 %) of the effect treated - control when whole pairs (a row each) are drawn again."""
+    return grouped_bootstrap(df, pair, treated, control, draws, seed)
+
+
 def grouped_bootstrap(df: DataFrame, group: str, loss_a: Column, loss_b: Column, draws: int = 1000, seed: int = 0) -> tuple[float, float, float]:
     """(mean, 2.5 %, 97.5 %) of the mean difference of two losses when whole groups are drawn again.
 

@@ -311,6 +311,31 @@ def bootstrap_grouped(spark, sf):
     return spark.createDataFrame([tuple(round(x, 6) for x in found)], "mean double, low double, high double")
 
 
+@query("bootstrap_paired")
+def bootstrap_paired(spark, sf):
+    """Mean and interval of the paired difference of two losses over all labels; tested against NumPy."""
+    found = metrics.paired_bootstrap(table(spark, sf, "labels"), "doc_id", F.abs(F.col("quality") - 0.2), F.abs(F.col("quality") - 0.6), 200)
+    return spark.createDataFrame([tuple(round(x, 6) for x in found)], "mean double, low double, high double")
+
+
+MATCHED = "SELECT o_custkey, month(o_orderdate) AS m, CAST(max(o_totalprice) > 250000 AS INTEGER) AS won FROM orders WHERE year(o_orderdate) {} 1995 GROUP BY 1, 2"
+
+
+@query("label_matched", f"SELECT a.o_custkey, a.m, CAST(b.won > a.won AS DOUBLE) AS label FROM ({MATCHED.format('<')}) a JOIN ({MATCHED.format('>=')}) b ON a.o_custkey = b.o_custkey AND a.m = b.m")
+def label_matched(spark, sf):
+    orders = table(spark, sf, "orders").withColumn("m", F.month("o_orderdate"))
+    early, late = (orders.where(c).groupBy("o_custkey", "m").agg((F.max("o_totalprice") > 250000).cast("int").alias("won")) for c in (F.year("o_orderdate") < 1995, F.year("o_orderdate") >= 1995))
+    return metrics.matched_label(early, late, ["o_custkey", "m"], "won").select("o_custkey", "m", "label")
+
+
+@query("readout_logistic")
+def readout_logistic(spark, sf):
+    """Out-of-fold scores of all line items, orders whole in a fold; the readout is tested against Newton's method."""
+    df = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity"), F.col("l_discount"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"))
+    out = metrics.out_of_fold(df, ["l_quantity", "l_discount"], "y", "l_orderkey")
+    return out.agg(F.count("probability").alias("n"), *metrics.classification("y", "probability")).select("n", F.round("brier", 4).alias("brier"), F.round("log_loss", 4).alias("log_loss"))
+
+
 @query("split_time", "SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'train' WHEN ts < TIMESTAMP '2024-01-20' THEN 'val' ELSE 'test' END AS split FROM events")
 def split_time(spark, sf):
     from datetime import datetime
