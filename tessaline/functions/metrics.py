@@ -83,7 +83,7 @@ def logistic_readout(df: DataFrame, inputs: Sequence[str], y: str, c: float = 0.
         raise ValueError("no rows without nulls to fit")
     scaled = {f"__x{i}": (F.col(x).cast("double") - row[f"m{i}"]) / (row[f"s{i}"] or 1.0) for i, x in enumerate(inputs)}
     together = VectorAssembler(inputCols=list(scaled), outputCol="__v")
-    learner = LogisticRegression(featuresCol="__v", labelCol="__y", predictionCol="__p", probabilityCol="__q", rawPredictionCol="__r", family="binomial", regParam=1 / (c * row.n), standardization=False, maxIter=2000, tol=1e-10)
+    learner = LogisticRegression(featuresCol="__v", labelCol="__y", predictionCol="__p", probabilityCol="__q", rawPredictionCol="__r", family="binomial", regParam=1 / (c * row.n), standardization=False, maxIter=2000, tol=1e-8)
     model = learner.fit(together.transform(known.withColumns(scaled).withColumn("__y", F.col(y).cast("double"))))
 
     def probability(rows: DataFrame, alias: str = "probability") -> DataFrame:
